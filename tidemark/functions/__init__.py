@@ -1 +1 @@
-
+"""Scalar and table functions."""

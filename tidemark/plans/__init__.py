@@ -1 +1 @@
-
+"""Whole queries put together from operators."""

@@ -1 +1 @@
-
+"""State processors and streaming jobs."""
