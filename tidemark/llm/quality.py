@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, KEY, WORD, keyed, let, words
+from .common import GAP, KEY, WORD, cut, keyed, let, words
 
 WINDOW = 8
 
@@ -72,7 +72,7 @@ def judge(docs: DataFrame, max_documents: int = 100, least_left: float = 0.5) ->
     like any other; other columns are ignored. No rows give no rows.
     """
     rows = keyed(docs.select("doc_id", "text", "source"))
-    lines = _line_hashes(rows)
+    lines = cut(_line_hashes(rows))  # read twice below
     host = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host")
     held = lines.select(host, "h1", "h2", "__hash", "__len").distinct().groupBy("host", "h1", "h2").agg(F.count("*").alias("texts"))
     common = held.where(F.col("texts") > max_documents).select(F.col("host").alias("c_host"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
