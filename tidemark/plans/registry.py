@@ -41,7 +41,11 @@ def query(sql: str | None = None):
 _LABEL = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 _BUCKET = "time_bucket(interval '10 seconds', ts)"
 _WINDOW = f"{_LABEL.format(_BUCKET)} as stt, {_LABEL.format(f'{_BUCKET} + interval 10 seconds')} as edt"
-_DAY = F.to_date("ts")
+
+
+def _day():
+    return F.to_date("ts")
+
 
 
 # ---- filters and projections
@@ -264,7 +268,7 @@ select event_id, case when rn > 1 and flag = '1' and case when f = '1' then d1 e
   from (select *, case when event_type in ('signup', 'view') then '1' else '0' end as flag from events) window w as (partition by user_id order by ts, event_id))""")
 def is_new_repair(t):
     rows = t.events.withColumn("is_new", F.when(F.col("event_type").isin("signup", "view"), "1").otherwise("0"))
-    return state.repair_is_new(rows, "user_id", _DAY, ["ts", "event_id"]).select("event_id", "is_new")
+    return state.repair_is_new(rows, "user_id", _day(), ["ts", "event_id"]).select("event_id", "is_new")
 
 
 _FIRST = "cast(coalesce(cast(lag(ts) over (partition by {} order by ts, event_id) as date) <> cast(ts as date), true) as bigint)"
@@ -275,7 +279,7 @@ select {_WINDOW}, ch, cast(sum(uv) as bigint) as uv, cast(sum(sv) as bigint) as
   select *, event_type as ch, {_FIRST.format('user_id')} as uv, cast(event_type = 'view' as bigint) as sv, cast(props ->> '$.k' as bigint) as k from events)
 group by {_BUCKET}, ch""")
 def uv_sv_pv_window(t):
-    rows = state.first_of_day(t.events, ["user_id"], _DAY, ["ts", "event_id"])
+    rows = state.first_of_day(t.events, ["user_id"], _day(), ["ts", "event_id"])
     rows = windows.page_metrics(rows, F.when(F.col("event_type") != "view", F.col("event_type")), F.from_json("props", "k bigint")["k"]).withColumn("ch", F.col("event_type"))
     return windows.tumble(rows, "ts", ["ch"], uv=F.sum("uv"), sv=F.sum("sv"), pv=F.sum("pv"), dur=F.sum("dur"))
 
@@ -284,7 +288,7 @@ def uv_sv_pv_window(t):
 select {_WINDOW}, cast(sum(case when event_type = 'view' then uv else 0 end) as bigint) as home_uv, cast(sum(case when event_type = 'purchase' then uv else 0 end) as bigint) as detail_uv from (
   select *, {_FIRST.format('user_id, event_type')} as uv from events where event_type in ('view', 'purchase')) where uv = 1 group by {_BUCKET}""")
 def home_detail_uv(t):
-    rows = state.first_of_day(etl.home_and_detail(t.events, "event_type", ("view", "purchase")), ["user_id", "event_type"], _DAY, ["ts", "event_id"])
+    rows = state.first_of_day(etl.home_and_detail(t.events, "event_type", ("view", "purchase")), ["user_id", "event_type"], _day(), ["ts", "event_id"])
     home, uv = F.col("event_type") == "view", F.col("uv")
     rows = rows.withColumns({"home_uv": F.when(home, uv).otherwise(0), "detail_uv": F.when(~home, uv).otherwise(0)})
     return dws.home_detail(rows, "ts").drop("ts")
@@ -292,7 +296,7 @@ def home_detail_uv(t):
 
 @query(f"select {_WINDOW}, count(*) as uu from (select *, {_FIRST.format('user_id')} as uv from events where event_type = 'purchase') where uv = 1 group by {_BUCKET}")
 def cart_uu(t):
-    rows = state.first_of_day(t.events.where("event_type = 'purchase'"), ["user_id"], _DAY, ["ts", "event_id"]).where("uv = 1")
+    rows = state.first_of_day(t.events.where("event_type = 'purchase'"), ["user_id"], _day(), ["ts", "event_id"]).where("uv = 1")
     return dws.cart_users(rows, "ts").drop("ts")
 
 
@@ -300,7 +304,7 @@ def cart_uu(t):
 select {_WINDOW}, cast(sum(cast(before is not null and date_diff('day', before, d) >= 8 as bigint)) as bigint) as back, count(*) as uu from (
   select ts, cast(ts as date) as d, cast(lag(ts) over (partition by user_id order by ts, event_id) as date) as before from events where event_type = 'signup') where before is null or before <> d group by {_BUCKET}""")
 def login_back(t):
-    rows = state.login_metrics(t.events.where("event_type = 'signup'"), "user_id", _DAY, ["ts", "event_id"])
+    rows = state.login_metrics(t.events.where("event_type = 'signup'"), "user_id", _day(), ["ts", "event_id"])
     return dws.user_login(rows, "ts").drop("ts")
 
 
@@ -375,7 +379,7 @@ def gmv_empty_day(t):
 
 
 def _views(t) -> DataFrame:
-    rows = state.first_of_day(t.events, ["user_id"], _DAY, ["ts", "event_id"]).withColumn("ch", F.col("event_type"))
+    rows = state.first_of_day(t.events, ["user_id"], _day(), ["ts", "event_id"]).withColumn("ch", F.col("event_type"))
     return rows.groupBy(F.window("ts", "10 seconds").alias("w"), "ch").agg(F.sum("uv").alias("uv")).select(F.col("w.start").alias("stt"), "ch", "uv")
 
 
@@ -407,7 +411,7 @@ def date_fmt(t):
 
 @query("select event_id, cast(date_diff('day', cast('2024-01-01' as date), cast(ts as date)) as integer) as days from events")
 def day_diff(t):
-    return t.events.select("event_id", F.datediff(_DAY, F.to_date(F.lit("2024-01-01"))).alias("days"))
+    return t.events.select("event_id", F.datediff(_day(), F.to_date(F.lit("2024-01-01"))).alias("days"))
 
 
 @query("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as text, strftime(ts, '%Y-%m-%d') as day, cast(epoch_ms(date_trunc('second', ts)) as bigint) as millis from events")
