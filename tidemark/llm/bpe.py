@@ -75,7 +75,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.pattern = java_pattern(pattern)
-        self._pairs, self._single, self._pieces, self._unreached = _vocabulary(path)
+        self._pairs, self._single, self.pieces, self._unreached = _vocabulary(path)
 
     def tokens(self, text: Column) -> Column:
         """The pattern's matches in a text, in order; none for null."""
@@ -125,10 +125,10 @@ class Codec:
             ids = F.when(F.hex(word.cast("binary")) == token, F.array(F.lit(rank))).otherwise(ids)
         return ids
 
-    def decode(self, df: DataFrame, name: str, ids: str) -> DataFrame:
-        """``df`` with the column ``name``: the bytes of the column ``ids``, its pieces put together."""
-        wide = _with_literals(df, __pieces=(self._pieces, "array<string>"))
-        return wide.withColumn(name, F.unhex(F.array_join(let(F.col("__pieces"), lambda p: F.transform(ids, lambda i: F.get(p, i))), ""))).drop("__pieces")
+    @staticmethod
+    def put_together(ids: Column, pieces: Column) -> Column:
+        """The bytes of ids: their binary pieces, one after the other."""
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
 def distinct_words(docs: DataFrame, codec: Codec) -> DataFrame:
@@ -150,13 +150,13 @@ def _head(words: DataFrame, most: int, longest: int) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, head: int = 262_144, longest: int = 48) -> DataFrame:
-    """All columns of ``docs`` and ``ids array<int>`` of the whole ``text``, without special tokens.
+    """All columns of ``docs``, ``ids array<int>`` of the whole ``text`` without special tokens, and ``decoded binary`` of the ids.
 
     Each match of ``pattern`` is encoded separately. The words are counted over all texts. The most frequent, ``head``
     of them at most and none above ``longest`` bytes, are folded once each and become a literal table beside the rank
     map, at most some 30 MB whatever the input; every other word is folded where it stands by the same columns. So the
     texts are never shuffled. Null and empty texts have no ids. Repeated rows, null ids and other columns stay as they
-    are; a column called ``ids`` is replaced. No rows give no rows.
+    are; columns called ``ids`` and ``decoded`` are replaced. No rows give no rows.
     """
     codec = Codec(path, pattern)
     folded = codec.with_ranks(_head(distinct_words(docs, codec), head, longest).select("word"), "ids", lambda encode_word: encode_word(F.col("word")))
@@ -167,16 +167,21 @@ def encode(docs: DataFrame, path: str, pattern: str, head: int = 262_144, longes
         buckets[at].append(word)
         known[at].append(ids)
 
-    def looked_up(encode_word, words: Column, found: Column) -> Column:
+    def looked_up(encode_word, words: Column, found: Column, pieces: Column) -> Column:
         one = lambda word: let(F.xxhash64(word).bitwiseAND(_WORD_BUCKETS - 1).cast("int"), lambda b: let(F.array_position(F.get(words, b), word).cast("int"), lambda p: F.when(p > 0, F.get(F.get(found, b), p - 1)).otherwise(encode_word(word))))
-        return F.flatten(F.transform(codec.tokens(F.col("text")), one))
+        ids = F.flatten(F.transform(codec.tokens(F.col("text")), one))
+        return let(ids, lambda x: F.struct(x.alias("ids"), codec.put_together(x, pieces).alias("decoded")))
 
-    return codec.with_ranks(docs, "ids", looked_up, __words=(buckets, "array<array<string>>"), __found=(known, "array<array<array<int>>>"))
+    tables = {"__words": (buckets, "array<array<string>>"), "__found": (known, "array<array<array<int>>>"), "__pieces": (codec.pieces, "array<string>")}
+    coded = codec.with_ranks(docs.drop("ids", "decoded"), "__coded", looked_up, **tables)
+    return coded.select(*(c for c in coded.columns if c != "__coded"), "__coded.ids", "__coded.decoded")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """All columns and ``decoded binary``, the bytes of ``ids``; null ids give null."""
-    return Codec(path, pattern).decode(encoded, "decoded", "ids")
+    """All columns of a written table and ``decoded binary``, the bytes of ``ids``; null ids give null."""
+    codec = Codec(path, pattern)
+    wide = _with_literals(encoded.drop("decoded"), __pieces=(codec.pieces, "array<string>"))
+    return wide.withColumn("decoded", let(F.col("__pieces"), lambda p: codec.put_together(F.col("ids"), p))).drop("__pieces")
 
 
 def ids_digest(ids: Column) -> Column:
@@ -186,5 +191,5 @@ def ids_digest(ids: Column) -> Column:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``docs``."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
+    coded = encode(docs.select("doc_id", "text"), path, pattern)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
