@@ -7,6 +7,7 @@ import struct
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, embeddings, lines, mixing, quality, secrets, simhash, toxicity, urls, warc
 from tidemark.llm.queries import vocabulary
@@ -64,6 +65,10 @@ def test_bpe(spark, docs):
     assert got(bpe.digests(docs, path, pattern), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
     few = bpe.encode(docs, path, pattern, head=5)  # nearly all words folded where they stand
     assert {r["doc_id"]: r["ids"] for r in few.collect()} == {i: enc.encode_ordinary(t or "") for i, t, *_ in DOCS}
+    assert few.columns == [*docs.columns, "ids", "decoded"] and all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in few.collect())
+    back = bpe.decode(few.select("doc_id", F.when(F.col("text").isNotNull(), F.col("ids")).alias("ids")), path, pattern)
+    assert {r["doc_id"]: r["decoded"] for r in back.collect()} == {i: None if t is None else t.encode() for i, t, *_ in DOCS}
+    assert bpe.digests(docs.limit(0), path, pattern).collect() == []
 
 
 def test_mixing(spark, docs):

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import let
+from .common import cut, let
 
 #: Above every rank.
 NO_RANK = 1 << 30
 _ID_BITS = 20
 _KEY_BASE = 1 << 31
 _PAIR_BUCKETS = 65_521
-_WORD_BUCKETS = 65_536
+#: Rows that are looked up or put together at a time.
+_BATCH = 1_000
+_IDS = T.ArrayType(T.IntegerType())
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,8 +48,8 @@ def _merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 @lru_cache(maxsize=2)
-def _vocabulary(path: str) -> tuple[list[list[int]], list[int], list[str], dict[str, int]]:
-    """The rank map of pairs of ids by bucket, keys and ranks in turn; the bytes' ids; the tokens' bytes in hex; the tokens that no merges reach."""
+def _vocabulary(path: str) -> tuple[list[list[int]], list[int], pa.Array, dict[str, int]]:
+    """The rank map of pairs of ids by bucket, keys and ranks in turn; the bytes' ids; the tokens' bytes; the tokens that no merges reach."""
     ranks = load_ranks(path)
     pairs: list[list[int]] = [[] for _ in range(_PAIR_BUCKETS)]
     for token, rank in ranks.items():
@@ -53,11 +57,11 @@ def _vocabulary(path: str) -> tuple[list[list[int]], list[int], list[str], dict[
             if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                 key = a * 65_536 + b
                 pairs[key % _PAIR_BUCKETS] += [key + _KEY_BASE, rank]
-    pieces = [""] * (max(ranks.values()) + 1)
+    pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
+        pieces[rank] = token
     unreached = {token.hex().upper(): rank for token, rank in ranks.items() if len(token) > 1 and _merge(token, ranks) != [rank]}
-    return pairs, [ranks[bytes([i])] for i in range(256)], pieces, unreached
+    return pairs, [ranks[bytes([i])] for i in range(256)], pa.array(pieces, pa.binary()), unreached
 
 
 def _with_literals(df: DataFrame, **tables) -> DataFrame:
@@ -125,20 +129,14 @@ class Codec:
             ids = F.when(F.hex(word.cast("binary")) == token, F.array(F.lit(rank))).otherwise(ids)
         return ids
 
-    @staticmethod
-    def put_together(ids: Column, pieces: Column) -> Column:
-        """The bytes of ids: their binary pieces, one after the other."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
-
 
 def distinct_words(docs: DataFrame, codec: Codec) -> DataFrame:
     """``word, n``: each different match in all texts and its number; counted before the shuffle."""
     return docs.select(F.explode(codec.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _head(words: DataFrame, most: int, longest: int) -> DataFrame:
-    """The words more frequent than some count, the least for which they are ``most`` or fewer; of ``longest`` bytes at most."""
-    words = words.where(F.octet_length("word") <= longest)
+def _head(words: DataFrame, most: int) -> DataFrame:
+    """The words more frequent than some count, the least for which they are ``most`` or fewer."""
     sizes = words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
     taken, least = 0, None
     for row in sizes.toLocalIterator():
@@ -149,47 +147,111 @@ def _head(words: DataFrame, most: int, longest: int) -> DataFrame:
     return words if least is None else words.where(F.col("n") > least)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, head: int = 262_144, longest: int = 48) -> DataFrame:
-    """All columns of ``docs``, ``ids array<int>`` of the whole ``text`` without special tokens, and ``decoded binary`` of the ids.
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    """The ends of runs laid one after the other, after a zero."""
+    return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after the other."""
+    ends = _ends(lengths)
+    return values[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)]
+
+
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    offsets = lists.offsets.to_numpy()
+    return offsets - offsets[0]
+
+
+def _lists(offsets: np.ndarray, values) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _mapped(df: DataFrame, take: list[str], body, given, **new: T.DataType) -> DataFrame:
+    """``df`` without the columns ``take`` and with ``new``, as ``body(*taken, given)`` makes them of some rows at a time."""
+    kept = df.drop(*take)
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in new.items())])
+    shared, n = df.sparkSession.sparkContext.broadcast(given), len(kept.columns)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, _BATCH):
+                columns = batch.slice(first, _BATCH).columns
+                yield pa.RecordBatch.from_arrays([*columns[:n], *body(*columns[n:], shared.value)], names=schema.names)
+
+    return df.select(*kept.columns, *take).mapInArrow(over, schema)
+
+
+def _look_up(tokens: pa.ListArray, found: tuple) -> tuple[pa.ListArray, pa.ListArray]:
+    """The ids of known words with -1 for each other word, and these words in order."""
+    words, starts, lengths, ids = found  # the last run is [-1]
+    flat, offsets = tokens.flatten(), _offsets(tokens)
+    at = pc.fill_null(pc.index_in(flat, value_set=words), len(words)).to_numpy()
+    rare = at == len(words)
+    known = _runs(ids, starts[at], lengths[at])
+    return _lists(_ends(lengths[at])[offsets], known), _lists(_ends(rare)[offsets], flat.filter(pa.array(rare)))
+
+
+def _put_together(known: pa.ListArray, folded: pa.ListArray, pieces: pa.Array) -> tuple[pa.ListArray, pa.Array]:
+    """The ids with the folded words in their places, and the ids' pieces, concatenated."""
+    ids, words = known.flatten().to_numpy(), folded.flatten()
+    gaps = ids < 0
+    starts, lengths = np.arange(len(ids)), np.ones(len(ids), np.int64)
+    ends = _ends(pc.list_value_length(words).to_numpy())
+    starts[gaps], lengths[gaps] = len(ids) + ends[:-1], np.diff(ends)
+    whole = _runs(np.concatenate((ids, words.flatten().to_numpy())), starts, lengths)
+    offsets = _ends(lengths)[_offsets(known)]
+    return _lists(offsets, pa.array(whole, pa.int32())), _joined(whole, offsets, pieces)
+
+
+def _joined(ids: np.ndarray, offsets: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The pieces of each run of ids as one binary: pieces that are taken one after the other stand so in memory."""
+    _, ends, data = pieces.take(pa.array(ids, pa.int32())).buffers()
+    rows = np.frombuffer(ends, np.int32)[offsets] if len(ids) else np.zeros(len(offsets), np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer(rows.tobytes()), data or pa.py_buffer(b"")])
+
+
+def _decoded(ids: pa.ListArray, pieces: pa.Array) -> tuple[pa.Array]:
+    whole = _joined(ids.flatten().to_numpy(), _offsets(ids), pieces)
+    return (pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary())),)
+
+
+def _sha256(ids: pa.ListArray, _) -> tuple[pa.Array]:
+    flat, offsets = ids.flatten().to_numpy().astype("<u4"), _offsets(ids)
+    return (pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])], pa.string()),)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, head: int = 262_144, longest: int = 48, keep: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs``, or those of ``keep``, ``ids array<int>`` of the whole ``text`` without special tokens, and ``decoded binary`` of the ids.
 
     Each match of ``pattern`` is encoded separately. The words are counted over all texts. The most frequent, ``head``
-    of them at most and none above ``longest`` bytes, are folded once each and become a literal table beside the rank
-    map, at most some 30 MB whatever the input; every other word is folded where it stands by the same columns. So the
-    texts are never shuffled. Null and empty texts have no ids. Repeated rows, null ids and other columns stay as they
-    are; columns called ``ids`` and ``decoded`` are replaced. No rows give no rows.
+    of them at most and none above ``longest`` bytes, are folded once each and broadcast with their ids, at most some
+    30 MB whatever the input; texts look their words up there, some rows at a time. Every other word is folded where it
+    stands by the same columns, and its ids are put in their place. So the texts are never shuffled. Null and empty
+    texts have no ids. Repeated rows, null ids and other columns stay as they are; columns called ``ids`` and
+    ``decoded`` are replaced. No rows give no rows.
     """
     codec = Codec(path, pattern)
-    folded = codec.with_ranks(_head(distinct_words(docs, codec), head, longest).select("word"), "ids", lambda encode_word: encode_word(F.col("word")))
-    buckets: list[list[str]] = [[] for _ in range(_WORD_BUCKETS)]
-    known: list[list[list[int]]] = [[] for _ in range(_WORD_BUCKETS)]
-    for word, ids in folded.toLocalIterator(prefetchPartitions=True):  # at most ``head`` words of ``longest`` bytes
-        at = xxhash.xxh64_intdigest(word.encode(), 42) % _WORD_BUCKETS
-        buckets[at].append(word)
-        known[at].append(ids)
-
-    def looked_up(encode_word, words: Column, found: Column, pieces: Column) -> Column:
-        one = lambda word: let(F.xxhash64(word).bitwiseAND(_WORD_BUCKETS - 1).cast("int"), lambda b: let(F.array_position(F.get(words, b), word).cast("int"), lambda p: F.when(p > 0, F.get(F.get(found, b), p - 1)).otherwise(encode_word(word))))
-        ids = F.flatten(F.transform(codec.tokens(F.col("text")), one))
-        return let(ids, lambda x: F.struct(x.alias("ids"), codec.put_together(x, pieces).alias("decoded")))
+    words = cut(distinct_words(docs, codec).where(F.octet_length("word") <= longest))  # read twice, counted once
+    table = codec.with_ranks(_head(words, head).select("word"), "ids", lambda encode_word: encode_word(F.col("word"))).toArrow()  # at most ``head`` words of ``longest`` bytes
+    known, found = table["word"].combine_chunks().cast(pa.string()), table["ids"].combine_chunks()
+    lengths = np.append(pc.list_value_length(found).to_numpy(), 1)
+    found = (known, _ends(lengths)[:-1], lengths, np.append(found.flatten().to_numpy(), -1).astype(np.int32))
 
-    tables = {"__words": (buckets, "array<array<string>>"), "__found": (known, "array<array<array<int>>>"), "__pieces": (codec.pieces, "array<string>")}
-    coded = codec.with_ranks(docs.drop("ids", "decoded"), "__coded", looked_up, **tables)
-    return coded.select(*(c for c in coded.columns if c != "__coded"), "__coded.ids", "__coded.decoded")
+    coded = docs.select(*(f"`{c}`" for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")), codec.tokens(F.col("text")).alias("__tokens"))
+    coded = _mapped(coded, ["__tokens"], _look_up, found, __known=_IDS, __rare=T.ArrayType(T.StringType()))
+    coded = codec.with_ranks(coded, "__folded", lambda encode_word: F.transform("__rare", encode_word)).drop("__rare")
+    return _mapped(coded, ["__known", "__folded"], _put_together, codec.pieces, ids=_IDS, decoded=T.BinaryType())
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """All columns of a written table and ``decoded binary``, the bytes of ``ids``; null ids give null."""
-    codec = Codec(path, pattern)
-    wide = _with_literals(encoded.drop("decoded"), __pieces=(codec.pieces, "array<string>"))
-    return wide.withColumn("decoded", let(F.col("__pieces"), lambda p: codec.put_together(F.col("ids"), p))).drop("__pieces")
-
-
-def ids_digest(ids: Column) -> Column:
-    """Hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return F.pandas_udf(lambda s: pd.Series([hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest() for x in s], dtype="object"), "string")(ids)
+    wide = encoded.drop("decoded").withColumn("__ids", F.col("ids"))
+    return _mapped(wide, ["__ids"], _decoded, Codec(path, pattern).pieces, decoded=T.BinaryType())
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``docs``."""
-    coded = encode(docs.select("doc_id", "text"), path, pattern)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``docs``; ids as little-endian unsigned 32-bit integers."""
+    coded = encode(docs.select("doc_id", "text"), path, pattern, keep=["doc_id"])
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    return _mapped(coded, ["ids"], _sha256, None, ids_sha256=T.StringType())
