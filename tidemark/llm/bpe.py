@@ -22,6 +22,8 @@ NO_RANK = 1 << 30
 _ID_BITS = 20
 _KEY_BASE = 1 << 31
 _PAIR_BUCKETS = 65_521
+#: The most words that are folded once and broadcast, and their most bytes.
+HEAD, LONGEST = 524_288, 48
 #: Rows that are looked up or put together at a time.
 _BATCH = 1_000
 _IDS = T.ArrayType(T.IntegerType())
@@ -216,21 +218,30 @@ def _decoded(ids: pa.ListArray, pieces: pa.Array) -> tuple[pa.Array]:
     return (pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary())),)
 
 
-def _sha256(ids: pa.ListArray, _) -> tuple[pa.Array]:
-    flat, offsets = ids.flatten().to_numpy().astype("<u4"), _offsets(ids)
-    return (pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])], pa.string()),)
+def _digested(known: pa.ListArray, folded: pa.ListArray, pieces: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The number of ids, and the digests of the ids and of their pieces, once put together."""
+    ids, decoded = _put_together(known, folded, pieces)
+    flat, offsets = ids.values.to_numpy().astype("<u4"), _offsets(ids)
+    of_ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]
+    of_pieces = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
+    return pa.array(np.diff(offsets), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_pieces, pa.string())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, head: int = 262_144, longest: int = 48, keep: list[str] | None = None) -> DataFrame:
-    """All columns of ``docs``, or those of ``keep``, ``ids array<int>`` of the whole ``text`` without special tokens, and ``decoded binary`` of the ids.
+def encode(docs: DataFrame, path: str, pattern: str, head: int = HEAD, longest: int = LONGEST) -> DataFrame:
+    """All columns of ``docs``, ``ids array<int>`` of the whole ``text`` without special tokens, and ``decoded binary`` of the ids.
 
     Each match of ``pattern`` is encoded separately. The words are counted over all texts. The most frequent, ``head``
     of them at most and none above ``longest`` bytes, are folded once each and broadcast with their ids, at most some
-    30 MB whatever the input; texts look their words up there, some rows at a time. Every other word is folded where it
+    60 MB whatever the input; texts look their words up there, some rows at a time. Every other word is folded where it
     stands by the same columns, and its ids are put in their place. So the texts are never shuffled. Null and empty
     texts have no ids. Repeated rows, null ids and other columns stay as they are; columns called ``ids`` and
     ``decoded`` are replaced. No rows give no rows.
     """
+    return _encoded(docs, path, pattern, head, longest, [], _put_together, ids=_IDS, decoded=T.BinaryType())
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, head: int, longest: int, drop: list[str], body, **new: T.DataType) -> DataFrame:
+    """``docs`` without the columns ``drop`` and with ``new``, as ``body`` makes them of known words' ids and the other words' folds."""
     codec = Codec(path, pattern)
     words = cut(distinct_words(docs, codec).where(F.octet_length("word") <= longest))  # read twice, counted once
     table = codec.with_ranks(_head(words, head).select("word"), "ids", lambda encode_word: encode_word(F.col("word"))).toArrow()  # at most ``head`` words of ``longest`` bytes
@@ -238,10 +249,10 @@ def encode(docs: DataFrame, path: str, pattern: str, head: int = 262_144, longes
     lengths = np.append(pc.list_value_length(found).to_numpy(), 1)
     found = (known, _ends(lengths)[:-1], lengths, np.append(found.flatten().to_numpy(), -1).astype(np.int32))
 
-    coded = docs.select(*(f"`{c}`" for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")), codec.tokens(F.col("text")).alias("__tokens"))
+    coded = docs.drop(*new).withColumn("__tokens", codec.tokens(F.col("text"))).drop(*drop)
     coded = _mapped(coded, ["__tokens"], _look_up, found, __known=_IDS, __rare=T.ArrayType(T.StringType()))
     coded = codec.with_ranks(coded, "__folded", lambda encode_word: F.transform("__rare", encode_word)).drop("__rare")
-    return _mapped(coded, ["__known", "__folded"], _put_together, codec.pieces, ids=_IDS, decoded=T.BinaryType())
+    return _mapped(coded, ["__known", "__folded"], body, codec.pieces, **new)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -252,6 +263,5 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``docs``; ids as little-endian unsigned 32-bit integers."""
-    coded = encode(docs.select("doc_id", "text"), path, pattern, keep=["doc_id"])
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
-    return _mapped(coded, ["ids"], _sha256, None, ids_sha256=T.StringType())
+    new = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    return _encoded(docs.select("doc_id", "text"), path, pattern, HEAD, LONGEST, ["text"], _digested, **new)
