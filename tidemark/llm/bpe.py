@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,8 @@ _KEY_BASE = 1 << 31
 _PAIR_BUCKETS = 65_521
 #: The most words that are folded once and broadcast, and their most bytes.
 HEAD, LONGEST = 524_288, 48
-#: Rows that are looked up or put together at a time.
-_BATCH = 1_000
+#: The most rows and bytes that are looked up or put together at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
 _IDS = T.ArrayType(T.IntegerType())
 
 
@@ -169,17 +169,30 @@ def _lists(offsets: np.ndarray, values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to those above; lower ones stay.
+
+    Batches are limited by session settings alone, read when a plan runs. By default they take 10,000 rows, whose
+    words' offsets and bytes stand several times over in the JVM and in both Python workers of a task.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def _mapped(df: DataFrame, take: list[str], body, given, **new: T.DataType) -> DataFrame:
     """``df`` without the columns ``take`` and with ``new``, as ``body(*taken, given)`` makes them of some rows at a time."""
+    small_batches(df.sparkSession)
     kept = df.drop(*take)
     schema = T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in new.items())])
     shared, n = df.sparkSession.sparkContext.broadcast(given), len(kept.columns)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, _BATCH):
-                columns = batch.slice(first, _BATCH).columns
-                yield pa.RecordBatch.from_arrays([*columns[:n], *body(*columns[n:], shared.value)], names=schema.names)
+            columns = batch.columns
+            yield pa.RecordBatch.from_arrays([*columns[:n], *body(*columns[n:], shared.value)], names=schema.names)
 
     return df.select(*kept.columns, *take).mapInArrow(over, schema)
 
