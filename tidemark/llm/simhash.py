@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -74,52 +73,118 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Odd multipliers, one for each 64-bit word of a wide fingerprint.
-_MIX = np.random.default_rng(64).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
+#: A pair at Jaccard 0.8 misses all 32 bands of 5 minima with a chance of (1 - 0.8 ** 5) ** 32 = 3e-6, however many texts there are.
+BANDS, MINIMA = 32, 5
+#: Odd multipliers, one for each minimum.
+_MIX = np.random.default_rng(64).integers(1 << 62, 1 << 63, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _wide_fingerprint(text: bytes | None, width: int, seed: int) -> list[int]:
-    """Eight words of 64 majority bits each, all from one XXH64 of each shingle, mixed in eight ways."""
+def _shingles(text: bytes | None, width: int, seed: int) -> np.ndarray:
+    """The sorted XXH64 of the different shingles of a text; none without a word."""
     tokens = (text or b"").lower().split()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(b" ".join(tokens[i : i + width]), seed) for i in range(max(len(tokens) - width, 0) + 1)] if tokens else []
-    ones = np.zeros(512, dtype=np.int64)
-    for at in range(0, len(hashes), 16_384):
-        x = np.array(hashes[at : at + 16_384], dtype=np.uint64)[:, None] * _MIX
+    hashes = {digest(b" ".join(tokens[i : i + width]), seed) for i in range(max(len(tokens) - width, 0) + 1)} if tokens else set()
+    return np.sort(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)))
+
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    """One key for each band of minima: two sets have a band's key in common with their Jaccard similarity to the power of ``MINIMA``."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 4_096):
+        x = shingles[at : at + 4_096, None] * _MIX
         x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes)).view(np.int64).tolist()
+        x *= _GOLDEN
+        np.minimum(least, x.min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN
+    for minimum in least.reshape(BANDS, MINIMA).T:
+        keys = (keys ^ minimum) * _GOLDEN
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64).tolist()
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
 
+def _similarities(one: np.ndarray, flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The exact Jaccard similarity of a set to each of the sets whose members are sorted in ``flat``."""
+    lo, hi = np.searchsorted(flat, one, "left"), np.searchsorted(flat, one, "right")
+    counts = hi - lo
+    at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    both = np.bincount(owner[at], minlength=len(sizes))
+    return both / (len(one) + sizes - both)
+
+
+def _tile_links(similarity: float):
+    """Links between components among the sets of two tiles of a bucket, one for each set and component it reaches.
+
+    Sets of the component with the most rows are only compared with others: each pair of two components has one side
+    outside of it.
+    """
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, spare_bits: int = 10) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, components = rows["node"].to_numpy(), rows["component"].to_numpy()
+        names, counts = np.unique(components, return_counts=True)
+        u, v = [], []
+        if len(names) > 1:
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"]]
+            sizes = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat)
+            flat, owner = flat[order], owner[order]
+            for q in np.flatnonzero(components != names[counts.argmax()]):
+                near = np.flatnonzero((_similarities(sets[q], flat, owner, sizes) >= similarity) & (components != components[q]))
+                near = near[np.unique(components[near], return_index=True)[1]]
+                u += [nodes[q]] * len(near)
+                v += nodes[near].tolist()
+        return pd.DataFrame({"u": pd.Series(u, dtype="int64"), "v": pd.Series(v, dtype="int64")})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, component_id``, linked from a Jaccard similarity of ``similarity`` of shingles on.
 
-    Near copies of that similarity differ in about a seventh of their fingerprint's bits, more than a ball over 64 bits
-    can hold. So a fingerprint has eight words of 64 bits, and each word's first log2(n) + ``spare_bits`` bits are
-    hashed by balls of radius 2, for n different fingerprints. Pairs that meet in any word are verified by the distance
-    of all 512 bits, which estimates the similarity to about 0.04. Texts without a word are one group; texts of up to
-    ``width`` words link only if their words are equal. Nulls, ties and repeats are as for :func:`near_duplicates`.
+    Near copies of that similarity differ in about a seventh of a SimHash fingerprint's bits, more than a ball can
+    hold at any size. So the sets of shingles meet in bands of minima (see ``BANDS``), and each link is decided by the
+    exact similarity of the two sets. Equal sets are one class. In each bucket all are held against its smallest node,
+    and the links are joined to components. Buckets that still hold more than one component are then compared whole:
+    n classes are dealt over sqrt(n) / 8 tiles, and each pair of tiles is one task's work that skips what is joined.
+    Texts without a word are one group; texts of up to ``width`` words link only if their words are equal. Nulls, ties
+    and repeats are as for :func:`near_duplicates`.
     """
-    wide = F.pandas_udf(lambda s: pd.Series([_wide_fingerprint(x, width, seed) for x in s], dtype="object"), "array<bigint>")
-    prints = cut(docs.select("doc_id", wide(F.col("text").cast("binary")).alias("fp")).withColumn("node", F.xxhash64("fp")))
-    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")))
-    bits = min(max(classes.count(), 2).bit_length() + spare_bits, 62)
-    balls = F.array(*(F.lit(m) for m in [0, *(1 << b for b in range(bits))]))
-    words = classes.select("node", F.posexplode(F.transform("fp", lambda x: x.bitwiseAND((1 << bits) - 1))).alias("word", "part"))
-    met = words.select("node", "word", F.explode(F.transform(balls, lambda m: m.bitwiseXOR(F.col("part")))).alias("variant"))
-    before = F.lag("node").over(Window.partitionBy("word", "variant").orderBy("node"))
-    pairs = met.withColumn("before", before).where("before is not null").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
-    side = lambda n, f: classes.select(F.col("node").alias(n), F.col("fp").alias(f))
-    held = cut(pairs).join(side("u", "a"), "u").join(side("v", "b"), "v")
-    distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = int(512 * math.acos(2 * similarity / (1 + similarity)) / math.pi)  # the cosine of two shingle sets of that Jaccard similarity
-    found = connected_components(held.where(distance <= most).select("u", "v"))
-    grouped = cut(classes.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    packed = F.pandas_udf(lambda s: pd.Series([_shingles(x, width, seed).tobytes() for x in s], dtype="object"), "binary")
+    banded = F.pandas_udf(lambda s: pd.Series([_bands(np.frombuffer(x, dtype=np.uint64)) for x in s], dtype="object"), "array<bigint>")
+    alike = F.pandas_udf(
+        lambda a, b: pd.Series([_jaccard(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(a, b)], dtype="float64"), "double"
+    )
+    prints = cut(docs.select("doc_id", packed(F.col("text").cast("binary")).alias("shingles")).withColumn("node", F.xxhash64("shingles")).withColumn("keys", banded("shingles")))
+    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")))
+    members = classes.select("node", F.explode("keys").alias("key"))
+    crowds = members.groupBy("key").agg(F.min("node").alias("star"), F.count("*").alias("n"), F.bit_xor("node").alias("mark")).where("n > 1")
+    crowds = crowds.groupBy("n", "mark", "star").agg(F.min("key").alias("key"))  # bands with the same members are one bucket
+    shared = cut(members.join(crowds, "key").select("key", "node", "star", "n"))
+    sets = cut(prints.select("node", "shingles").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    rays = shared.where("node <> star").select(F.col("star").alias("u"), F.col("node").alias("v")).distinct()
+    side = lambda n, s: sets.select(F.col("node").alias(n), F.col("shingles").alias(s))
+    edges = cut(rays.join(side("v", "b"), "v").join(side("u", "a"), "u").where(alike("a", "b") >= similarity).select("u", "v"))
+    found = cut(connected_components(edges))
+    known = shared.where("n > 2").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    split = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    placed = known.join(split, "key").withColumn("tiles", F.ceil(F.sqrt("n") / 8).cast("int"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int"))
+    dealt = placed.select("key", "node", "component", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "component", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")).join(sets, "node")
+    more = dealt.groupBy("key", "lo", "hi").applyInPandas(_tile_links(similarity), "u long, v long")
+    joined = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    grouped = cut(classes.select("node", "first_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = cut(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")))
     known = cut(grouped.join(least, "component").select("node", "component_id"))
-    return prints.join(known, "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
