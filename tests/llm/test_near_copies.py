@@ -60,3 +60,15 @@ def test_families_of_a_template(spark):
     want = wanted(rows)
     assert len(set(want.values())) == 75
     assert linked(spark, rows) == want
+
+
+def test_recall_among_many_texts(spark):
+    """300 pairs just above 0.8 among 6,000 other texts."""
+    rng, rows = random.Random(2), []
+    for _ in range(300):
+        one = fresh(204, rng)
+        rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(changed(one, [18], rng)))]
+    rows += [(len(rows) + k, " ".join(fresh(60, rng))) for k in range(6_000)]
+    want = wanted(rows)
+    assert len(set(want.values())) == 6_300
+    assert linked(spark, rows) == want
