@@ -72,3 +72,15 @@ def test_recall_among_many_texts(spark):
     want = wanted(rows)
     assert len(set(want.values())) == 6_300
     assert linked(spark, rows) == want
+
+
+def test_links_are_exact_at_the_threshold(spark):
+    """Pairs at 0.8 itself, just below it and at 0.75: 180 shingles, of which 20, 21 and 26 differ."""
+    rng, rows = random.Random(3), []
+    for n in (16, 17, 22):
+        for _ in range(60):
+            one = fresh(184, rng)
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(changed(one, [n], rng)))]
+    want = wanted(rows)
+    assert [sum(want[i] != i for i in range(k, k + 120)) for k in (0, 120, 240)] == [60, 0, 0]
+    assert linked(spark, rows) == want
