@@ -168,7 +168,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, see
     crowds = members.groupBy("key").agg(F.min("node").alias("star"), F.count("*").alias("n"), F.bit_xor("node").alias("mark")).where("n > 1")
     crowds = crowds.groupBy("n", "mark", "star").agg(F.min("key").alias("key"))  # bands with the same members are one bucket
     shared = cut(members.join(crowds, "key").select("key", "node", "star", "n"))
-    sets = cut(prints.select("node", "shingles").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    met = cut(shared.select("node").distinct())
+    met = F.broadcast(met) if met.count() <= 1_000_000 else met  # so that the sets of all others are not shuffled
+    sets = cut(prints.select("node", "shingles").join(met, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     rays = shared.where("node <> star").select(F.col("star").alias("u"), F.col("node").alias("v")).distinct()
     side = lambda n, s: sets.select(F.col("node").alias(n), F.col("shingles").alias(s))
     edges = cut(rays.join(side("v", "b"), "v").join(side("u", "a"), "u").where(alike("a", "b") >= similarity).select("u", "v"))
