@@ -64,5 +64,7 @@ def sku_order(amounts: DataFrame, dims: dict[str, DataFrame], time: str = "row_t
 
 
 def province_order(amounts: DataFrame, provinces: DataFrame, time: str = "row_time") -> DataFrame:
-    sums = tumble(amounts, time, ["province_id"], order_count=F.size(F.collect_set("order_id")).cast("long"), order_amount=F.sum("order_amount"))
+    # A stream cannot count distinct values; a table can, in two aggregations, without a window's orders in one buffer.
+    orders = F.size(F.collect_set("order_id")).cast("long") if amounts.isStreaming else F.count_distinct("order_id")
+    sums = tumble(amounts, time, ["province_id"], order_count=orders, order_amount=F.sum("order_amount"))
     return _stamped(dim_join(sums, provinces, "province_id", "id", {"name": "province_name"})).select("stt", "edt", "province_id", "province_name", "order_count", "order_amount", "ts")
