@@ -53,11 +53,15 @@ windows as (select doc_id, unnest(range(1, greatest(len(w) - 6, 1))) as i, w fro
 hashed as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as x from windows),
 again as (select doc_id, i from (select *, count(*) over (partition by doc_id, x) as n from hashed) where n > 1),
 held as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from again) group by doc_id),
-places as (select doc_id, host, text, unnest(string_split(text, chr(10))) as line from base),
-normal as (select doc_id, host, text, lower(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')) as line from places),
-common as (select host, line from normal where line <> '' group by host, line having count(distinct text) > 100),
-removed as (select doc_id, sum(length(line)) as gone from normal join common using (host, line) group by doc_id),
-lined as (select doc_id, sum(length(trim(line))) as chars from places group by doc_id),
+places as (select doc_id, host, unnest(string_split(text, chr(10))) as line from base),
+normal as (select doc_id, host, lower(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')) as line from places),
+hosts as (select host, count(distinct doc_id) as documents from base group by host),
+common as (
+  select host, line from normal join hosts using (host) where line <> '' group by host, line, documents
+  having count(distinct doc_id) > 5 and count(distinct doc_id) > cast(0.05 as double) * documents),
+lined as (
+  select n.doc_id, sum(length(n.line)) as chars, sum(length(n.line)) filter (c.line is not null) as gone
+  from normal n left join common c on n.host = c.host and n.line = c.line group by n.doc_id),
 stats as (
   select doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
     cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
@@ -66,7 +70,7 @@ stats as (
   from base left join held using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and coalesce(gone, 0) <= 0.5 * chars as kept
-from stats left join removed using (doc_id) left join lined using (doc_id)"""
+from stats left join lined using (doc_id)"""
 
 
 def _spans(number: int, pattern: str, group: int, least: int) -> str:

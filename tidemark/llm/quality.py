@@ -10,6 +10,16 @@ from .common import GAP, KEY, WORD, cut, keyed, let, words
 WINDOW = 8
 
 
+def _window_hashes(w: Column) -> Column:
+    """The hash of each window of eight words, doubled three times from the words' own; none for fewer words."""
+
+    def doubled(h: Column, step: int) -> Column:
+        """Each hash with the one ``step`` places on, as long as there is one."""
+        return let(h, lambda x: F.zip_with(F.slice(x, F.lit(1), F.greatest(F.size(x) - step, F.lit(0))), F.slice(x, F.lit(step + 1), F.size(x)), lambda a, b: F.xxhash64(a, b)))
+
+    return doubled(doubled(doubled(F.transform(w, lambda x: F.xxhash64(x)), 1), 2), 4)
+
+
 def _repeated_words(w: Column) -> Column:
     """Words in windows of eight words that stand twice or more in the list.
 
@@ -17,7 +27,6 @@ def _repeated_words(w: Column) -> Column:
     cover their windows' words once each. Time grows with n log n of one text.
     """
     none = F.lit(0).cast("long")
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, WINDOW))))
 
     def covered(h: Column) -> Column:
         placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
@@ -29,7 +38,7 @@ def _repeated_words(w: Column) -> Column:
         gaps = lambda p: F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
         return let(let(placed, places), lambda p: F.aggregate(gaps(p), none, lambda a, x: a + x))
 
-    return F.when(F.size(w) < WINDOW + 1, none).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h))))
+    return let(_window_hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h)))
 
 
 def word_statistics(docs: DataFrame) -> DataFrame:
@@ -53,37 +62,47 @@ def word_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _line_hashes(docs: DataFrame) -> DataFrame:
-    """A row for each line with a character: ``at`` (its place), ``h1, h2`` (the normalised line's hash), ``chars``.
+    """A row for each line that is not empty in normal form: its two hashes ``h1, h2``, its ``chars``, and ``total`` of the document.
+
+    Normal form: without space at the ends, runs of space as one, runs of digits as one 0, in lower case. ``chars`` and
+    ``total`` count characters of it, so that what is removed and what there is are measured alike.
+    """
+    spaced = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09\x0B-\x0D]+", " ")
+    normal = F.filter(F.transform(F.split(F.lower(F.regexp_replace(spaced, "[0-9]+", "0")), "\n"), F.trim), lambda x: x != "")
+    lines = F.transform(normal, lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("h1"), F.xxhash64(F.lit(2), x).alias("h2"), F.length(x).cast("long").alias("chars")))
+    whole = docs.select(*KEY, "host", lines.alias("lines"))
+    whole = whole.withColumn("total", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"]))
+    return whole.select(*KEY, "host", "total", F.posexplode("lines").alias("at", "line")).select(*KEY, "host", "total", "at", "line.*")
+
+
+def common_lines(lines: DataFrame, documents: DataFrame, share: float, least: int) -> DataFrame:
+    """``host, h1, h2`` of the lines in more than ``share`` of the host's documents, and in more than ``least``.
 
-    Normalised: without space at the ends, runs of space as one, digits as 0, in lower case.
+    ``lines(host, h1, h2, KEY)`` and ``documents(host, KEY)``; rows equal in :data:`common.KEY` are one document.
     """
-    normal = F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.col("line"), GAP, " ")), "[0-9]+", "0"), " +", " "))
-    lines = docs.select(*KEY, "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")).withColumn("line", normal).where("line <> ''")
-    return lines.select(*KEY, "source", "at", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), F.length("line").cast("long").alias("chars"))
+    held = lines.select("host", "h1", "h2", *KEY).distinct().groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hosts = documents.select("host", *KEY).distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    return held.join(hosts, "host").where(F.col("n") > F.lit(share) * F.col("documents")).select("host", "h1", "h2")
 
 
-def judge(docs: DataFrame, max_documents: int = 100, least_left: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.05, least: int = 5, least_left: float = 0.5) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` for each row of ``docs``.
 
-    Lines are hashed in normal form and counted by the different texts of a host (the ``source``) that hold them, so
-    exact copies count once. Lines in more than ``max_documents`` texts of the host are removed; a document that has
-    less than ``least_left`` of its lines' characters left is rejected, as is one whose base rules fail. A null source
-    is a host of its own. Null texts have no words and fail. Repeated rows get one verdict each; null ids are judged
-    like any other; other columns are ignored. No rows give no rows.
+    Lines are hashed in normal form and counted by the distinct documents of their host (the ``source``) that hold
+    them. Lines in more than ``share`` of the host's documents, and in more than ``least``, are removed; a document
+    that has less than ``least_left`` of its lines' characters left is rejected, as is one whose base rules fail. A
+    null source is a host of its own. Null texts have no words and fail. Rows equal in id and text are one document
+    and get one verdict each; null ids are judged like any other; other columns are ignored. No rows give no rows.
     """
-    rows = keyed(docs.select("doc_id", "text", "source"))
+    rows = keyed(docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host")))
     lines = cut(_line_hashes(rows))  # read twice below
-    host = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host")
-    held = lines.select(host, "h1", "h2", "__hash", "__len").distinct().groupBy("host", "h1", "h2").agg(F.count("*").alias("texts"))
-    common = held.where(F.col("texts") > max_documents).select(F.col("host").alias("c_host"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    place = lines.select(*KEY, host, "at", "h1", "h2", "chars")
-    removed = place.join(common, (F.col("host") == F.col("c_host")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))).select(*KEY, "host", "at", "chars").distinct().groupBy(*KEY, "host").agg(F.sum("chars").alias("gone"))
-    whole = F.aggregate(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.trim(x))), F.lit(0).cast("long"), lambda a, x: a + x)
-    stats = word_statistics(rows.withColumn("line_chars", whole)).drop("text").withColumn("host", host)
-    right = removed.select(F.col("host").alias("g_host"), "gone", *(F.col(k).alias(f"_r{k}") for k in KEY))
-    same = F.col("host") == F.col("g_host")
+    common = common_lines(lines, rows, share, least)
+    removed = lines.join(common, ["host", "h1", "h2"]).select(*KEY, "host", "at", "chars", "total").distinct()
+    removed = removed.groupBy(*KEY, "host").agg(F.sum("chars").alias("gone"), F.max("total").alias("total"))
+    depleted = removed.where(F.col("gone") > (1 - least_left) * F.col("total")).select(*(F.col(k).alias(f"_r{k}") for k in KEY), F.col("host").alias("_r_host"), F.lit(True).alias("depleted"))
+    same = F.col("host") == F.col("_r_host")
     for k in KEY:
         same = same & F.col(k).eqNullSafe(F.col(f"_r{k}"))
-    joined = stats.join(right, same, "left")
-    depleted = F.coalesce("gone", F.lit(0)) > (1 - least_left) * F.col("line_chars")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"))
+    joined = word_statistics(rows).drop("text").join(depleted, same, "left")
+    kept = ~F.col("base_failed") & F.col("depleted").isNull()
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
