@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, lines, mixing, quality, secrets, simhash, toxicity, urls, warc
+from tidemark.llm import bpe, embeddings, lines, mixing, quality, secrets, simhash, toxicity, urls
 from tidemark.llm.queries import vocabulary
 
 RNG = random.Random(3)
@@ -96,24 +96,9 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), urls.rule_table(spark)).count() == 0
 
 
-def test_warc(spark, tmp_path):
-    rows = [(1, "http://a", "<p>é"), (2, None, "<p>é"), (3, "http://b", None), (4, "http://c", ""), (5, "http://d\r\nX: y", "z" * 10_000), (None, "u", "<p>é")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = {r["page_id"]: r for r in warc.archived(df, str(tmp_path / "w")).collect()}
-    assert [(i, out[i]["record_type"], out[i]["refers_to"], out[i]["payload_bytes"]) for i in (1, 2, 3, 4, 5, None)] == [(1, "revisit", 2, 5), (2, "response", None, 5), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, 10_000), (None, "revisit", 2, 5)]
-    assert spark.read.parquet(str(tmp_path / "w" / "payloads")).count() == 3
-    for r in warc.record_bytes(warc.read_archive(spark, str(tmp_path / "w"))).collect():
-        head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\n") and body == (bytes(r["payload"]) if r["record_type"] == "response" else b"") + b"\r\n\r\n"
-
-
 def test_quality(spark, docs):
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got(quality.judge(docs), *names) == sorted(((i, *brute.statistics(t)) for i, t, *_ in DOCS), key=repr)
-    common = [(k, f"Shared  footer number {k} with quite a lot of boilerplate words in it that go on and on for ever and ever\n{k} own {prose(4)}", "s") for k in range(20)]
-    clean = [(100, prose(50) + "\nshared footer number 7 with", "s")]
-    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(common + clean, "doc_id long, text string, source string"), max_documents=10).collect()}
-    assert kept[100] and not any(kept[k] for k in range(20))
 
 
 def test_lines(spark, docs):

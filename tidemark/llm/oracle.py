@@ -4,6 +4,18 @@ from __future__ import annotations
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_EMBEDDINGS = """
+with recursive sound as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit as (select vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from sound),
+links as (
+  select a.vec_id as u, b.vec_id as v from unit a join unit b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) >= 0.93),
+reached(vec_id, node) as (select vec_id, vec_id from embeddings union select r.vec_id, l.v from reached r join links l on r.node = l.u),
+components as (select vec_id, min(node) as component_id from reached group by vec_id)
+select c.vec_id, cast((select count(*) from links l where l.u = c.vec_id) as bigint) as n_links, component_id, c.vec_id = component_id as kept from components c"""
+
 _MIXING = rf"""
 with sized as (select doc_id, source, cast(len({_WORDS}) as bigint) as size from documents),
 totals as (select source, cast(sum(size) as bigint) as source_size from sized group by source),
@@ -104,6 +116,7 @@ from texts left join summed using (doc_id)"""
 
 
 ORACLE = {
+    "op1_embedding_near_dedup": _EMBEDDINGS,
     "op3_source_mixing": _MIXING,
     "op4_url_filter": _URLS,
     "op5_warc_archive": _WARC,

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-import re._constants as kinds
-import re._parser as parser
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, join_back, keyed
+from .common import KEY, cut, keyed
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` in the syntax that Java and Python share; a match counts if its ``group`` has ``least`` characters."""
+    """``pattern`` in the syntax that Java and Python share; a match counts if its ``group`` has ``least`` characters.
+
+    ``sure`` is a pattern that every text with a match that counts holds; it spares full scans lists of short matches.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    sure: str = ""
 
 
 #: The base rules; fixed values.
 BASE = [
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 ]
 #: Public token formats that the method adds; fixed values.
 ADDED = [
@@ -38,31 +41,56 @@ ADDED = [
 ]
 
 
+#: Classes of up to so many characters are read as alternatives.
+_CLASS = 8
+_ATOM = re.compile(r"\\x([0-9A-Fa-f]{2})|\\(.)|\[(\^?)((?:\\.|[^\]\\])+)\]|(.)", re.S)
+_TIMES = re.compile(r"([?*+]|\{(\d+)(?:,\d*)?\})?")
+
+
+def _class(negated: str, body: str) -> list[str]:
+    """The characters of a class; none if it is negated or has more than a few."""
+    if negated or re.search(r"[^\\]-.|\\[a-zA-Z]", body):
+        return []
+    found = list(dict.fromkeys(re.sub(r"\\(.)", r"\1", body)))
+    return found if len(found) <= _CLASS else []
+
+
+def _ways(pattern: str, at: int) -> tuple[list[list[str]], int]:
+    """Each way through the alternatives from ``at`` on: its runs of certain characters, broken where any may stand; and where they end."""
+    whole: list[list[str]] = []
+    ways: list[list[str]] = [[""]]
+    while at < len(pattern) and pattern[at] != ")":
+        if pattern[at] == "|":
+            whole, ways, at = whole + ways, [[""]], at + 1
+            continue
+        if pattern[at] == "(":
+            inner, at = _ways(pattern, at + 1 + 2 * pattern.startswith("(?:", at))
+        else:
+            atom = _ATOM.match(pattern, at)
+            code, escaped, negated, body, plain = atom.groups()
+            one = _class(negated, body) if body else [] if plain == "." or (escaped or "").isalpha() else [chr(int(code, 16)) if code else escaped or plain]
+            inner, at = [[c.lower()] for c in one] or [["", ""]], atom.end() - 1
+        times = _TIMES.match(pattern, at + 1)
+        at = times.end()
+        if times[1] == "?":
+            inner = [[""], *inner]
+        elif times[1] == "*" or times[2] == "0":
+            inner = [["", ""]]
+        elif times[1]:  # once or more: what begins a run and what ends one
+            inner = [[*way, *way] for way in inner]
+        ways = [[*way[:-1], way[-1] + more[0], *more[1:]] for way in ways for more in inner]
+    return whole + ways, at
+
+
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """The trigrams that a match must hold, in lower case: one of these sets, whole. An empty set asks for nothing.
 
-    Literals in a row give their trigrams; alternatives give a set each; a part that may be missing gives none.
+    Literals in a row give their trigrams; alternatives and the characters of small classes give a set each; a part that
+    may be missing or stand more than once gives none across it. The grammar is that of the rules: literals, escapes,
+    classes, groups, alternatives and counts.
     """
-
-    def texts(items) -> list[tuple[str, ...]]:
-        """For each way through ``items``: its runs of certain characters."""
-        ways: list[list[str]] = [[""]]
-        for op, value in items:
-            if op is kinds.LITERAL:
-                ways = [[*w[:-1], w[-1] + chr(value).lower()] for w in ways]
-                continue
-            if op is kinds.SUBPATTERN:
-                inner = texts(value[3])
-            elif op is kinds.BRANCH:
-                inner = [w for branch in value[1] for w in texts(branch)]
-            elif op is kinds.MAX_REPEAT and value[0] == 0 and value[1] == 1 and len(value[2]) == 1 and value[2][0][0] is kinds.LITERAL:
-                inner = [("",), *texts(value[2])]
-            else:
-                inner = [("", "")]
-            ways = [[*w[:-1], w[-1] + i[0], *i[1:]] if len(i) > 1 else [*w[:-1], w[-1] + i[0]] for w in ways for i in inner]
-        return [tuple(w) for w in ways]
-
-    sets = {frozenset(run[i : i + 3] for run in way for i in range(len(run) - 2)) for way in texts(parser.parse(pattern))}
+    ways, _ = _ways(pattern.removeprefix("(?i)"), 0)
+    sets = {frozenset(run[i : i + 3] for run in way for i in range(len(run) - 2)) for way in ways}
     return [frozenset()] if frozenset() in sets else sorted((s for s in sets if not any(t < s for t in sets)), key=sorted)
 
 
@@ -112,22 +140,31 @@ def _spans(rule: Rule, order: int) -> Column:
     return F.aggregate(pieces, start, step, lambda s: s["spans"])
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+#: Candidates up to this number, some 100 bytes each, are broadcast; beyond it texts are shuffled to them.
+BROADCAST_ROWS = 500_000
+
+
+def scan(docs: DataFrame, rules: list[Rule] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id, found``: for each row of ``docs`` the sorted spans (start, kind's number, end) of the rules' matches.
 
     Rules with mandatory trigrams are verified only in texts that the index's intersected postings name; a rule that
-    lacks them is run over every text. Null texts are empty and hold nothing; repeated rows come back repeated, null
-    ids as null; other columns are ignored. No rows give no rows.
+    lacks them is run over every text. Candidates are keys and kinds without texts; as long as they are at most
+    ``broadcast_rows`` they are sent to the texts, else the texts meet them by a shuffle. Null texts are empty and hold
+    nothing; repeated rows come back repeated, null ids as null; other columns are ignored. No rows give no rows.
     """
     rules = BASE + ADDED if rules is None else rules
     indexed = [r for r in rules if trigram_query(r.pattern) != [frozenset()]]
     rows = keyed(docs.select("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
-    named = join_back(rows, candidates(rows, indexed), "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    named = cut(candidates(rows, indexed)).withColumnsRenamed({k: f"_r{k}" for k in KEY})
+    named = F.broadcast(named) if named.count() <= broadcast_rows else named
+    on = F.lit(True)
+    for k in KEY:
+        on = on & rows[k].eqNullSafe(named[f"_r{k}"])
+    met = rows.join(named, on, "left").select("doc_id", "text", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    # A run of the least length first, so that full scans build no lists of what is too short to count.
-    sure = lambda r: F.col("text").rlike(r"[0-9a-f]{24}") if r == BASE[2] else F.lit(True)
-    spans = [F.when(F.array_contains("kinds", r.kind) if r in indexed else sure(r), _spans(r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return named.select("doc_id", F.array_sort(F.concat(*spans)).alias("found"))
+    wanted = lambda r: F.array_contains("kinds", r.kind) if r in indexed else F.col("text").rlike(r.sure) if r.sure else F.lit(True)
+    spans = [F.when(wanted(r), _spans(r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return met.select("doc_id", F.array_sort(F.concat(*spans)).alias("found"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
