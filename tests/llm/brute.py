@@ -138,14 +138,8 @@ def deleted_lines(rows, min_words=50):
                 total += s[b][2]
                 if total >= min_words:
                     key = tuple(x[1] for x in s[a : b + 1])
-                    if key not in first:
-                        first[key] = (i, a)
-                        if b - a > 60:
-                            break
-                    else:
+                    if first.setdefault(key, (i, a)) != (i, a):
                         spans.append((i, a, b, first[key]))
-                    if total - s[a][2] >= 4 * min_words and key not in first:
-                        break
     for i, a, b, (j, c) in spans:
         begin = max(a, c + b - a + 1) if i == j else a
         gone |= {(i, seqs[i][k][0]) for k in range(begin, b + 1)}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, lines, mixing, quality, secrets, simhash, toxicity, urls
+from tidemark.llm import bpe, embeddings, lines, quality, secrets, simhash, toxicity, urls
 from tidemark.llm.queries import vocabulary
 
 RNG = random.Random(3)
@@ -71,23 +71,6 @@ def test_bpe(spark, docs):
     assert bpe.digests(docs.limit(0), path, pattern).collect() == []
 
 
-def test_mixing(spark, docs):
-    full, fragments = mixing.mix(docs, block=16)
-    rows = full.collect()
-    sizes = {}
-    for _, t, _, s, *_ in DOCS:
-        sizes[s] = sizes.get(s, 0) + len(brute.words(t))
-    goal = brute.targets(sizes)
-    assert len(rows) == len(DOCS) and all(r["taken"] <= 2 * r["size"] and abs(r["target"] - goal[r["source"]]) < 1e-6 for r in rows)
-    for s in sizes:
-        assert abs(sum(r["taken"] for r in rows if r["source"] == s) - goal[s]) <= 0.5
-    assert sum(r["end_word"] - r["first_word"] for r in fragments.collect()) == sum(r["taken"] for r in rows)
-    again, _ = mixing.mix(docs.repartition(5), block=16)
-    assert got(again, "doc_id", "taken") == got(full, "doc_id", "taken")
-    assert mixing.mix(docs.limit(0))[0].count() == 0
-    assert mixing.mixed_documents(docs).columns == docs.columns
-
-
 def test_urls(spark):
     pages = ["http://a.EXAMPLE.com/en/7", "https://example.com/en/8?x", "x.net/de/", "ftp://net/de/", "http://example.net/de/89#a", "http://notexample.net/de/8", "http://org?/es/", None, "", "http://a.org/es/://b.com/en/", "http://com:80/en/", "://com/en/"]
     rows = [(i, u, "x") for i, u in enumerate(pages)] + [(1, pages[1], "x"), (None, pages[0], "x")]

@@ -9,9 +9,10 @@ from .common import KEY, WORD, cut, join_back, keyed
 
 #: Weights of the sources in order, repeating; fixed values.
 WEIGHTS = (5, 2, 1)
-#: The golden ratio less 1.
-TURN = 0.6180339887498949
+#: Slots lie on 2^31 points; each is the golden ratio less 1 of them on from the one before. Fixed values.
+POINTS, TURN = 1 << 31, 1_327_217_885
 _BUCKETS = 1024
+_PIECE = 4096
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -49,78 +50,77 @@ def _running(df: DataFrame, group: str, order: str, value: str, name: str) -> Da
 
 
 def schedule(goals: DataFrame, block: int) -> DataFrame:
-    """``slot, source, rank, blocks``: which source each slot of the mix takes from, and its number there.
+    """``slot, source, rank``: which source each slot of the mix takes from, and which of its blocks, from 0 on.
 
-    Slot s lies at frac(s * (golden ratio - 1)), and the source is the one in whose stretch of the cumulative targets
-    that lies. ``rank`` counts a source's slots from 0, ``blocks`` is how many it has. A source with a target but no
-    slot gets one at the end. Slots are ranked in pieces of 4,096, so that a large source's are never in one place.
+    There is a slot for each ``block`` words of all targets. Slot s lies at the golden-ratio point s, and its source is
+    the one in whose stretch of the cumulative targets that lies, so that every stretch of slots holds each source in
+    its share. Slots are ranked in pieces of 4,096, so that a large source's are never in one place.
     """
     goals = goals.where("goal > 0")
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row for each source
     whole = F.sum("goal").over(Window.partitionBy())
-    edges = cut(
-        goals.withColumns({"high": F.sum("goal").over(order.rowsBetween(Window.unboundedPreceding, 0)) / whole, "whole": whole})
-        .withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
-    )
+    point = lambda words: F.floor(words.cast("double") / whole * POINTS)
+    ends = F.sum("goal").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    edges = cut(goals.select("source", point(ends - F.col("goal")).alias("low"), point(ends).alias("high"), whole.alias("whole")))
     slots = -(-(edges.agg(F.max("whole")).first()[0] or 0) // block)
-    cell = lambda x: F.least(F.floor(x * 4096), F.lit(4095))  # noqa: E731  a slot meets the few sources of its cell
-    grid = edges.select("source", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
-    points = edges.sparkSession.range(slots).select(F.col("id").alias("slot"), (F.col("id") * F.lit(TURN) % 1.0).alias("point"))
+    cell = lambda x: F.floor(x / (POINTS // _PIECE))  # noqa: E731  a slot meets the few sources of its cell
+    grid = edges.where("low < high").select("source", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell"))
+    points = edges.sparkSession.range(slots).select(F.col("id").alias("slot"), (F.col("id") % POINTS * TURN % POINTS).alias("point"))
     placed = points.withColumn("cell", cell(F.col("point"))).join(grid, "cell").where("point >= low and point < high")
-    pieces = placed.select("slot", "source", F.floor(F.col("slot") / 4096).alias("piece"))
+    pieces = placed.select("slot", "source", F.floor(F.col("slot") / _PIECE).alias("piece"))
     counts = pieces.groupBy("source", "piece").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("source").alias("g"), F.col("piece").alias("c"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     local = F.row_number().over(Window.partitionBy("source", "piece").orderBy("slot")) - 1
     same = F.col("source").eqNullSafe(F.col("g")) & (F.col("piece") == F.col("c"))
-    ranked = pieces.withColumn("local", local).join(base, same).select("slot", "source", (F.col("base") + F.col("local")).alias("rank"))
-    have = counts.groupBy(F.col("source").alias("g")).agg(F.sum("n").alias("have"))
-    number = goals.select("source").join(have, F.col("source").eqNullSafe(F.col("g")), "left").select(F.col("source").alias("k"), F.greatest(F.coalesce("have", F.lit(0)), F.lit(1)).alias("blocks"), F.col("have").isNull().alias("late"))
-    late = number.where("late").select(F.lit(slots).cast("long").alias("slot"), F.col("k").alias("source"), F.lit(0).cast("long").alias("rank"))
-    return ranked.unionByName(late).join(number.drop("late"), F.col("source").eqNullSafe(F.col("k"))).select("slot", "source", "rank", "blocks")
+    return pieces.withColumn("local", local).join(base, same).select("slot", "source", (F.col("base") + F.col("local")).alias("rank"))
 
 
-def mix(docs: DataFrame, block: int = 256, seed: str = "mix", share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = 64, seed: str = "mix", share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs(doc_id, text, source)``: a row for each row of ``docs``, and its fragments in the mix's order.
 
-    The first has ``doc_id, size, source, source_size, target, taken`` and the :data:`common.KEY` of its row. The
-    second has ``slot, source, rank, doc_id, copy, first_word, end_word``: the words that a slot takes from a document.
-    Each source's documents are shuffled by digest and laid end to end, and as often again as its target asks for.
-    That stream is cut in blocks of equal words, about ``block``, one for each of the source's slots, and slots and
-    blocks are joined by rank. A source gives exactly its rounded target; no document gives more than ``most`` times
-    its size. Null and empty texts have size 0 and give nothing; a null source is a source of its own, after the
-    others; null ids and repeated rows are rows like any other. Reruns agree. No rows give no rows.
+    The first has ``doc_id, size, source, source_size, target, taken, first_slot, n_slots`` and the :data:`common.KEY`
+    of its row. The second has ``slot, source, rank, doc_id, start, copy, size, first_word, end_word`` and the key: the
+    words that a slot takes from a document.
+    Each source's documents are shuffled by digest and laid end to end, and once more, up to ``most`` times. That
+    stream is cut in blocks of ``block`` words. The schedule's slot of rank r takes its source's block r, so a source
+    gives as many words as slots fall to it: its target up to a few blocks, and never more than ``most`` times any
+    document. Null and empty texts have size 0 and give nothing; a null source is a source of its own, after the
+    others; null ids and repeated rows are rows like any other. Reruns agree. Sources are taken to be few enough for
+    one row each in one task. No rows give no rows.
     """
     rows = keyed(docs.select("doc_id", "text", "source")).withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")).drop("text")
     rows = cut(rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))))
     goals = cut(targets(rows, share, most).withColumn("goal", F.round("target").cast("long")))
-    placed = cut(_running(rows, "source", "order", "size", "start"))
-    known = goals.select(F.col("source").alias("g"), "source_size", "target", "goal")
-    placed = placed.join(known, F.col("source").eqNullSafe(F.col("g"))).drop("g")
     slots = cut(schedule(goals, block))
-    blocks = slots.groupBy(F.col("source").alias("b")).agg(F.max("blocks").alias("blocks"))
-    laid = placed.where("size > 0 and goal > 0").join(blocks, F.col("source").eqNullSafe(F.col("b"))).drop("b")
-    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(goal - 1) div source_size"))))
-    laid = laid.withColumn("u", F.col("copy") * F.col("source_size") + F.col("start")).withColumn("v", F.least(F.col("u") + F.col("size"), "goal")).where("u < v")
-    # Block j of n holds the words from floor(j goal / n) on; decimals, as these products can pass 2^63.
-    holds = lambda t: F.expr(f"((cast({t} + 1 as decimal(20,0)) * cast(blocks as decimal(18,0)) + goal - 1) div goal) - 1")
-    starts = lambda j: F.expr(f"(cast({j} as decimal(20,0)) * cast(goal as decimal(18,0))) div blocks")
-    laid = laid.withColumn("j", F.explode(F.sequence(holds("u"), holds("(v - 1)"))))
-    laid = laid.withColumns({"w0": F.greatest("u", starts("j")), "w1": F.least("v", starts("(j + 1)"))}).where("w0 < w1")
-    taken_from = slots.select("slot", F.col("source").alias("s"), "rank")
-    fragments = laid.join(taken_from, F.col("source").eqNullSafe(F.col("s")) & (F.col("j") == F.col("rank"))).select(
-        "slot", "source", "rank", "doc_id", "start", "copy", (F.col("w0") - F.col("u")).alias("first_word"), (F.col("w1") - F.col("u")).alias("end_word")
+    have = slots.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("blocks"))
+    known = goals.join(have, F.col("source").eqNullSafe(F.col("h")), "left").select(F.col("source").alias("g"), "source_size", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    placed = _running(rows, "source", "order", "size", "start").join(known, F.col("source").eqNullSafe(F.col("g"))).drop("g", "order")
+    placed = cut(placed.withColumn("row", F.monotonically_increasing_id()))
+    # Copy c of a document holds the words from c * source_size + start on of its source's stream.
+    end = F.least(F.col("blocks") * block, F.floor(F.col("source_size") * most))
+    laid = placed.where("size > 0 and blocks > 0").withColumns({"end": end, "copy": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(-(-most // 1)) - 1).cast("long")))})
+    laid = laid.withColumn("u", F.col("copy") * F.col("source_size") + F.col("start")).withColumn("v", F.least(F.col("u") + F.col("size"), "end")).where("u < v")
+    laid = laid.withColumn("rank", F.explode(F.sequence(F.expr(f"u div {block}"), F.expr(f"(v - 1) div {block}"))))
+    laid = laid.withColumns({"first_word": F.greatest("u", F.col("rank") * block) - F.col("u"), "end_word": F.least("v", (F.col("rank") + 1) * block) - F.col("u")})
+    taken_from = slots.select("slot", F.col("source").alias("s"), F.col("rank").alias("r"))
+    fragments = laid.join(taken_from, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r"))).select(
+        "row", "slot", "source", "rank", "doc_id", "start", "copy", "size", "first_word", "end_word", *KEY
     )
-    # Where a document begins in its source's stream tells it apart from all others with words.
-    sums = fragments.groupBy(F.col("source").alias("s"), F.col("start").alias("t")).agg(F.sum(F.col("end_word") - F.col("first_word")).alias("sum"))
-    full = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("t")) & (F.col("size") > 0), "left")
-    full = full.select("doc_id", "size", "source", "source_size", "target", F.coalesce("sum", F.lit(0)).cast("long").alias("taken"), *KEY)
-    return full, fragments.drop("start")
-
-
-def mixed_documents(docs: DataFrame, block: int = 256, seed: str = "mix") -> DataFrame:
-    """``docs`` as the mix holds them: each row as often as its words are taken, to the nearest whole copy; all columns."""
-    full, _ = mix(docs, block, seed)
-    copies = full.select(*KEY, F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies")).where("__copies > 0")
-    copies = copies.groupBy(*KEY).agg(F.max("__copies").alias("__copies"))
-    return join_back(keyed(docs), copies, "inner").withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copies")
+    sums = fragments.groupBy("row").agg(F.sum(F.col("end_word") - F.col("first_word")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
+    full = placed.join(sums, "row", "left").select(
+        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), *KEY
+    )
+    return full, fragments.drop("row")
+
+
+def mixed_documents(docs: DataFrame, block: int = 64, seed: str = "mix") -> DataFrame:
+    """``docs`` as the mix holds them, in the order of its slots: each copy of a row of which half the words or more are taken; all columns.
+
+    A copy stands where the first slot that takes from it does. Null and empty texts are in no slot. Of rows equal in
+    id and text the first of each copy stands for all. No rows give no rows.
+    """
+    _, fragments = mix(docs, block, seed)
+    copies = fragments.groupBy(*KEY, "start", "copy").agg(F.min("slot").alias("__slot"), F.sum(F.col("end_word") - F.col("first_word")).alias("taken"), F.max("size").alias("size"))
+    copies = copies.where("2 * taken >= size").groupBy(*KEY, "copy").agg(F.min("__slot").alias("__slot")).drop("copy")
+    return join_back(keyed(docs), copies, "inner").orderBy("__slot").drop("__slot")

@@ -28,13 +28,22 @@ goals as (
   select source, source_size, case when level * weight >= 2.0 * source_size then 2.0 * source_size
     else (select arg_min(l.level, l.source_size / l.weight) from levels l where l.level * l.weight < 2.0 * l.source_size) * weight end as target
   from levels),
-placed as (
-  select doc_id, size, source_size, target, cast(round(target) as bigint) as goal,
+edges as (
+  select *, cast(sum(goal) over () as double) as whole, cast(sum(goal) over (order by encode(source) nulls last) as double) as ends
+  from (select source, source_size, target, cast(round(target) as bigint) as goal from goals) where goal > 0),
+stretches as (select source, cast(floor((ends - goal) / whole * 2147483648) as bigint) as low, cast(floor(ends / whole * 2147483648) as bigint) as high from edges),
+points as (select i as slot, i * 1327217885 % 2147483648 as point from (select unnest(range(0, (select cast(ceil(max(whole) / 64) as bigint) from edges))) as i)),
+slots as (select slot, source, row_number() over (partition by source order by slot) - 1 as rank from points join stretches on point >= low and point < high),
+laid as (
+  select row_number() over () as row, doc_id, s.source, size, source_size, target,
     cast(sum(size) over (partition by s.source order by md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || cast(size as varchar)) rows unbounded preceding) - size as bigint) as start
-  from sized s join goals g on s.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-  cast(case when size = 0 then 0 else greatest(0, least(start + size, goal) - start) + greatest(0, least(source_size + start + size, goal) - source_size - start) end as bigint) as taken
-from placed"""
+  from sized s join goals g on s.source is not distinct from g.source),
+copies as (select row, source, size, unnest([start, start + source_size]) as u, 2 * source_size as ends from laid),
+taken as (
+  select row, cast(sum(least(u + size, ends, (rank + 1) * 64) - greatest(u, rank * 64)) as bigint) as taken, min(slot) as first_slot, count(*) as n_slots
+  from copies c join slots t on c.source is not distinct from t.source and rank * 64 < least(u + size, ends) and (rank + 1) * 64 > u
+  where size > 0 group by row)
+select doc_id, size, source_size, target, coalesce(taken, 0) as taken, first_slot, coalesce(n_slots, 0) as n_slots from laid left join taken using (row)"""
 
 _URLS = """
 with parts as (
