@@ -7,6 +7,7 @@ order detail, an order an order record, a part a product, a supplier a province.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar, text
 from ..operators import etl, joins, routing, state, windows
 from ..sinks import writers
+from ..sources.readers import with_event_time
 from . import dwd, dws, serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,6 +286,20 @@ def uv_sv_pv_window(t):
     return windows.tumble(rows, "ts", ["ch"], uv=F.sum("uv"), sv=F.sum("sv"), pv=F.sum("pv"), dur=F.sum("dur"))
 
 
+@query(f"""
+select {_WINDOW}, vc, ch, ar, is_new, cast(sum(uv) as bigint) as uv, cast(sum(sv) as bigint) as sv, count(*) as pv, cast(sum(k) as bigint) as dur from (
+  select *, cast(event_id % 3 as varchar) as vc, event_type as ch, cast(user_id % 5 as varchar) as ar, case when event_id % 2 = 1 and f = 1 and rn > 1 and first_day <> cast(ts as date) then '0' when event_id % 2 = 1 and f = 0 and rn > 1 and first_day - 1 <> cast(ts as date) then '0' else cast(event_id % 2 as varchar) end as is_new,
+    {_FIRST.format('user_id')} as uv, cast(event_type = 'view' as bigint) as sv, cast(props ->> '$.k' as bigint) as k
+  from (select *, first(event_id % 2) over w as f, cast(first(ts) over w as date) as first_day, row_number() over w as rn from events window w as (partition by user_id order by ts, event_id)))
+group by {_BUCKET}, vc, ch, ar, is_new""")
+def page_view_window(t):
+    rows = t.events.withColumns({"vc": (F.col("event_id") % 3).cast("string"), "ch": F.col("event_type"), "ar": (F.col("user_id") % 5).cast("string"), "is_new": (F.col("event_id") % 2).cast("string")})
+    rows = state.repair_is_new(rows, "user_id", _day(), ["ts", "event_id"])
+    rows = state.first_of_day(rows, ["user_id"], _day(), ["ts", "event_id"])
+    rows = windows.page_metrics(rows, F.when(F.col("event_type") != "view", F.col("event_type")), F.from_json("props", "k bigint")["k"])
+    return dws.page_view(rows, "ts").drop("ts")
+
+
 @query(f"""
 select {_WINDOW}, cast(sum(case when event_type = 'view' then uv else 0 end) as bigint) as home_uv, cast(sum(case when event_type = 'purchase' then uv else 0 end) as bigint) as detail_uv from (
   select *, {_FIRST.format('user_id, event_type')} as uv from events where event_type in ('view', 'purchase')) where uv = 1 group by {_BUCKET}""")
@@ -358,7 +374,7 @@ def global_window(t):
 @query("select stt, keyword, count(*) as keyword_count from (select strftime(to_timestamp((doc_id // 10) * 10) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as stt, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) as keyword from documents) group by 1, 2")
 def keyword_window(t):
     words = t.documents.select(F.timestamp_seconds("doc_id").alias("row_time"), F.explode(text.latin_words(F.col("text"))).alias("keyword"))
-    return windows.tumble(words, "row_time", ["keyword"], keyword_count=F.count("*")).drop("edt")
+    return dws.keyword(words).drop("edt", "ts")
 
 
 @query("select word, count(*) as n from (select unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) as word from benchmark) group by word")
@@ -391,11 +407,16 @@ def channel_uv_topk(t):
     return serving.channel_visitors(_views(t), 20240102, 3)
 
 
-@query(f"""select '{{"categories":[' || string_agg('"' || ch || '"', ',' order by uv_ct desc, ch) || '],"values":[' || string_agg(uv_ct, ',' order by uv_ct desc, ch) || ']}}' as value from ({_CHANNELS})""")
+@query(f"""select '{{"status":0,"data":{{"categories":[' || string_agg('"' || ch || '"', ',' order by uv_ct desc, ch) || '],"series":[{{"name":"渠道","data":[' || string_agg(uv_ct, ',' order by uv_ct desc, ch) || ']}}]}}}}' as value from ({_CHANNELS})""")
 def channel_uv_json(t):
     return serving.channel_visitors_json(_views(t), 20240102, 3)
 
 
+@query("""select '{"status":0,"data":' || cast(coalesce(sum(cast(o_totalprice as decimal(16,2))), 0) as varchar) || '}' as value from orders where o_orderdate = '1997-05-28'""")
+def gmv_json(t):
+    return serving.gmv_json(t.orders.withColumn("order_amount", F.col("o_totalprice").cast("decimal(16,2)")), 19970528, "o_orderdate")
+
+
 # ---- scalar functions
 
 
@@ -440,7 +461,7 @@ def topic_routing(t):
 
 def _shop_changes(t) -> DataFrame:
     """Order lines, their orders (inserted, and cancelled where finished), activities of parts and coupons of suppliers, as change records."""
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.col("l_extendedprice").cast("decimal(16,2)"))
     money = lambda c: F.col(c).cast("decimal(16,2)").cast("string")
     m = lambda **kv: F.create_map(*(x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))))
     none = F.lit(None).cast("map<string,string>")
@@ -465,19 +486,124 @@ def _dic(t) -> DataFrame:
     return t.nation.select(F.col("n_nationkey").cast("string").alias("dic_code"), F.col("n_name").alias("dic_name"))
 
 
-_DETAIL = """
-select cast(l_orderkey as varchar) as order_id, cast(l_partkey as varchar) as sku_id, cast(o_custkey as varchar) as user_id, cast(o_custkey % 34 as varchar) as province_id,
-  case when l_partkey % 2 = 0 then cast(l_partkey as varchar) end as activity_id, case when l_suppkey % 3 = 0 then cast(l_suppkey as varchar) end as coupon_id, strftime({day}, '%Y-%m-%d') as date_id,
-  n_name as source_type_name, cast(cast(cast(l_quantity as decimal(16,2)) * cast(l_extendedprice as decimal(16,2)) as decimal(33,4)) as varchar) as split_original_amount
-from lineitem join orders on l_orderkey = o_orderkey join nation on n_nationkey = l_suppkey % 30 {where}"""
-_DETAIL_COLUMNS = ["order_id", "sku_id", "user_id", "province_id", "activity_id", "coupon_id", "date_id", "source_type_name", "split_original_amount"]
+_MONEY = "cast(cast({} as decimal(16,2)) as varchar)"
+_LINE_ID = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') || '-' || cast(l_extendedprice as decimal(16,2))"
+_ORIGINAL = "cast(cast(cast(cast(l_quantity as integer) as decimal(16,2)) * cast(l_extendedprice as decimal(16,2)) as decimal(33,4)) as varchar)"
+_LINES = """lineitem join orders on l_orderkey = o_orderkey join nation on n_nationkey = l_suppkey % 30"""
+_DETAIL_TAIL = f"""case when l_partkey % 2 = 0 then cast(l_partkey as varchar) end as activity_id, case when l_partkey % 2 = 0 then '7' end as activity_rule_id, case when l_suppkey % 3 = 0 then cast(l_suppkey as varchar) end as coupon_id"""
+_DETAIL_SPLITS = f"""cast(cast(l_quantity as integer) as varchar) as sku_num, {_ORIGINAL} as split_original_amount, {_MONEY.format('l_discount')} as split_activity_amount, {_MONEY.format('l_tax')} as split_coupon_amount, {_MONEY.format('l_extendedprice')} as {{total}}"""
 
 
-@query(_DETAIL.format(day="l_shipdate", where=""))
+@query(f"""
+select {_LINE_ID} as id, cast(l_orderkey as varchar) as order_id, cast(o_custkey as varchar) as user_id, cast(l_partkey as varchar) as sku_id, 'x' as sku_name, cast(o_custkey % 34 as varchar) as province_id,
+  {_DETAIL_TAIL}, strftime(l_shipdate, '%Y-%m-%d') as date_id, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as create_time, '0' as source_id, cast(l_suppkey % 30 as varchar) as source_type, n_name as source_type_name,
+  {_DETAIL_SPLITS.format(total='split_total_amount')}, '1700000000' as ts
+from {_LINES}""")
 def dwd_order_detail(t):
-    return dwd.order_detail(_shop_changes(t), _dic(t)).select(*_DETAIL_COLUMNS)
+    return dwd.order_detail(_shop_changes(t), _dic(t))
 
 
-@query(_DETAIL.format(day="o_orderdate", where="where o_orderstatus = 'F'"))
+@query(f"""
+select {_LINE_ID} as id, cast(l_orderkey as varchar) as order_id, cast(o_custkey as varchar) as user_id, cast(l_partkey as varchar) as sku_id, 'x' as sku_name, cast(o_custkey % 34 as varchar) as province_id,
+  {_DETAIL_TAIL}, strftime(o_orderdate, '%Y-%m-%d') as date_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as cancel_time, '0' as source_id, cast(l_suppkey % 30 as varchar) as source_type_code, n_name as source_type_name,
+  {_DETAIL_SPLITS.format(total='split_total_amount')}, '1700000000' as ts
+from {_LINES} where o_orderstatus = 'F'""")
 def dwd_cancel_detail(t):
-    return dwd.cancel_detail(_shop_changes(t), _dic(t)).select(*_DETAIL_COLUMNS)
+    return dwd.cancel_detail(_shop_changes(t), _dic(t))
+
+
+@query("""
+select cast(event_id as varchar) as id, cast(user_id as varchar) as user_id, cast(event_id % 100 as varchar) as sku_id, case when before is null then cast(n as varchar) else cast(n - before as varchar) end as sku_num,
+  cast(cast(epoch(date_trunc('second', ts)) as bigint) as varchar) as ts, cast(event_id % 30 as varchar) as source_type, n_name as source_type_name
+from (select *, lag(n) over (partition by user_id order by ts, event_id) as before from (select *, cast(floor(value) as integer) as n from events where event_type = 'purchase'))
+join nation on n_nationkey = event_id % 30 where before is null or n > before""")
+def dwd_cart_add(t):
+    rows = t.events.where("event_type = 'purchase'").withColumn("n", F.floor("value").cast("int").cast("string"))
+    rows = rows.withColumn("before", F.lag("n").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    data = F.create_map(*(x for k, v in {"id": "event_id", "user_id": "user_id", "sku_id": F.col("event_id") % 100, "sku_num": "n", "source_type": F.col("event_id") % 30}.items() for x in (F.lit(k), F.col(v).cast("string") if isinstance(v, str) else v.cast("string"))))
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    changes = rows.select(F.lit("cart_info").alias("table"), F.when(F.col("before").isNull(), "insert").otherwise("update").alias("type"), seconds.alias("ts"), data.alias("data"), F.when(F.col("before").isNotNull(), F.create_map(F.lit("sku_num"), F.col("before"))).alias("old"))
+    return dwd.cart_add(changes, _dic(t))
+
+
+def _change(df: DataFrame, table: str, kind: str, data: dict, old: dict | None = None, ts=None) -> DataFrame:
+    """Change records of one table from columns."""
+    m = lambda kv: F.create_map(*(x for k, v in kv.items() for x in (F.lit(k), (F.col(v) if isinstance(v, str) else v).cast("string"))))
+    was = m(old) if old else F.lit(None).cast("map<string,string>")
+    return df.select(F.lit(table).alias("table"), F.lit(kind).alias("type"), (F.lit("1700000000") if ts is None else ts.cast("string")).alias("ts"), m(data).alias("data"), was.alias("old"))
+
+
+def _refund_changes(t) -> DataFrame:
+    """Returned lines as refunds asked for and paid, finished orders as refunding and then refunded."""
+    back = t.lineitem.where("l_returnflag = 'R'")
+    price = F.col("l_extendedprice").cast("decimal(16,2)")
+    at = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
+    of_line = {"id": "l_linenumber", "user_id": "l_suppkey", "order_id": "l_orderkey", "sku_id": "l_partkey"}
+    refund = of_line | {"refund_type": F.col("l_suppkey") % 30, "refund_num": F.col("l_quantity").cast("int"), "refund_amount": price, "refund_reason_type": F.col("l_partkey") % 27, "refund_reason_txt": F.lit("why"), "create_time": at, "refund_status": F.lit("0705")}
+    paid = of_line | {"payment_type": F.col("l_suppkey") % 30, "callback_time": at, "total_amount": price, "refund_status": F.when(F.col("l_linestatus") == "F", "0701").otherwise("0702")}
+    done = t.orders.where("o_orderstatus = 'F'")
+    order = lambda code: {"id": "o_orderkey", "user_id": "o_custkey", "province_id": F.col("o_custkey") % 34, "order_status": F.lit(code)}
+    parts = [
+        _change(back, "order_refund_info", "insert", refund), _change(back.where("l_linenumber <= 4"), "order_refund_info", "update", refund, {"refund_status": F.lit("0701")}), _change(back, "refund_payment", "insert", paid),
+        _change(done, "order_info", "update", order("1005"), {"order_status": F.lit("1002")}), _change(done, "order_info", "update", order("1006"), {"order_status": F.lit("1005")}),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""
+select cast(l_linenumber as varchar) as id, cast(l_suppkey as varchar) as user_id, cast(l_orderkey as varchar) as order_id, cast(l_partkey as varchar) as sku_id, cast(o_custkey % 34 as varchar) as province_id,
+  strftime(l_shipdate, '%Y-%m-%d') as date_id, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as create_time, cast(l_suppkey % 30 as varchar) as refund_type_code, a.n_name as refund_type_name,
+  cast(l_partkey % 27 as varchar) as refund_reason_type_code, b.n_name as refund_reason_type_name, 'why' as refund_reason_txt, cast(cast(l_quantity as integer) as varchar) as refund_num, {_MONEY.format('l_extendedprice')} as refund_amount, '1700000000' as ts
+from lineitem join orders on l_orderkey = o_orderkey join nation a on a.n_nationkey = l_suppkey % 30 join nation b on b.n_nationkey = l_partkey % 27 where l_returnflag = 'R' and o_orderstatus = 'F'""")
+def dwd_order_refund(t):
+    return dwd.order_refund(_refund_changes(t), _dic(t)).drop("row_op_ts")
+
+
+@query(f"""
+select cast(p.l_linenumber as varchar) as id, cast(o_custkey as varchar) as user_id, cast(p.l_orderkey as varchar) as order_id, cast(p.l_partkey as varchar) as sku_id, cast(o_custkey % 34 as varchar) as province_id,
+  cast(p.l_suppkey % 30 as varchar) as payment_type_code, n_name as payment_type_name, strftime(p.l_shipdate, '%Y-%m-%d') as date_id, strftime(p.l_shipdate, '%Y-%m-%d %H:%M:%S') as callback_time,
+  cast(cast(r.l_quantity as integer) as varchar) as refund_num, {_MONEY.format('p.l_extendedprice')} as refund_amount, '1700000000' as ts
+from lineitem p join orders on p.l_orderkey = o_orderkey join nation on n_nationkey = p.l_suppkey % 30 join lineitem r on r.l_orderkey = p.l_orderkey and r.l_partkey = p.l_partkey
+where p.l_returnflag = 'R' and p.l_linestatus = 'F' and r.l_returnflag = 'R' and r.l_linenumber <= 4 and o_orderstatus = 'F'""")
+def dwd_refund_pay_suc(t):
+    return dwd.refund_paid(_refund_changes(t), _dic(t)).drop("row_op_ts")
+
+
+@query(f"""
+with pays as (
+  select l_orderkey as p_order, l_suppkey as p_user, l_partkey % 30 as kind, epoch(l_shipdate) + case l_partkey % 3 when 0 then 600 when 1 then -4 else 1000 end as paid_at from lineitem where l_linenumber = 1)
+select {_LINE_ID} as order_detail_id, cast(l_orderkey as varchar) as order_id, cast(p_user as varchar) as user_id, cast(l_partkey as varchar) as sku_id, 'x' as sku_name, cast(o_custkey % 34 as varchar) as province_id,
+  {_DETAIL_TAIL}, cast(kind as varchar) as payment_type_code, k.n_name as payment_type_name, 'then' as callback_time, '0' as source_id, cast(l_suppkey % 30 as varchar) as source_type_code, nation.n_name as source_type_name,
+  {_DETAIL_SPLITS.format(total='split_payment_amount')}, cast(cast(paid_at as bigint) as varchar) as ts
+from {_LINES} join pays on p_order = l_orderkey and epoch(l_shipdate) >= paid_at - 900 and epoch(l_shipdate) <= paid_at + 5 join nation k on k.n_nationkey = kind""")
+def dwd_pay_detail_suc(t):
+    details = dwd.order_detail(_shop_changes(t), _dic(t)).withColumn("row_time", F.to_timestamp("create_time"))
+    at = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.when(F.col("l_partkey") % 3 == 0, 600).when(F.col("l_partkey") % 3 == 1, -4).otherwise(1000)
+    paid = _change(t.lineitem.where("l_linenumber = 1"), "payment_info", "insert", {"user_id": "l_suppkey", "order_id": "l_orderkey", "payment_type": F.col("l_partkey") % 30, "callback_time": F.lit("then")}, ts=at)
+    return dwd.pay_detail(with_event_time(paid), details, _dic(t))
+
+
+_AMOUNTS = ", ".join(f"cast(sum(cast({e} as decimal(16,4))) as double) as {n}" for n, e in {"original_amount": "cast(l_quantity as integer) * cast(l_extendedprice as decimal(16,2))", "activity_amount": "cast(l_discount as decimal(16,2))", "coupon_amount": "cast(l_tax as decimal(16,2))", "order_amount": "cast(l_extendedprice as decimal(16,2))"}.items())
+
+
+@query(f"""
+with sums as (
+  select strftime(time_bucket(interval '10 seconds', l_shipdate), '%Y-%m-%d %H:%M:%S') as stt, strftime(time_bucket(interval '10 seconds', l_shipdate) + interval 10 seconds, '%Y-%m-%d %H:%M:%S') as edt, l_partkey, {_AMOUNTS}
+  from {_LINES} group by 1, 2, 3)
+select stt, edt, cast(p_size as varchar) as trademark_id, m.n_name as trademark_name, cast(c2.r_regionkey % 3 as varchar) as category1_id, c1.r_name as category1_name, cast(c3.n_regionkey as varchar) as category2_id, c2.r_name as category2_name,
+  cast(p_partkey % 30 as varchar) as category3_id, c3.n_name as category3_name, cast(l_partkey as varchar) as sku_id, p_name as sku_name, cast(p_partkey % 120 as varchar) as spu_id, s_name as spu_name, original_amount, activity_amount, coupon_amount, order_amount
+from sums left join part on p_partkey = l_partkey left join supplier on s_suppkey = p_partkey % 120 left join nation m on m.n_nationkey = p_size left join nation c3 on c3.n_nationkey = p_partkey % 30
+left join region c2 on c2.r_regionkey = c3.n_regionkey left join region c1 on c1.r_regionkey = c2.r_regionkey % 3""")
+def dws_sku_order(t):
+    text_of = lambda df, **columns: df.select(*((F.col(c) if isinstance(c, str) else c).cast("string").alias(n) for n, c in columns.items()))
+    dims = {
+        "sku_info": text_of(t.part, id="p_partkey", sku_name="p_name", spu_id=F.col("p_partkey") % 120, tm_id="p_size", category3_id=F.col("p_partkey") % 30),
+        "spu_info": text_of(t.supplier, id="s_suppkey", spu_name="s_name"),
+        "base_trademark": text_of(t.nation, id="n_nationkey", tm_name="n_name"),
+        "base_category3": text_of(t.nation, id="n_nationkey", name="n_name", category2_id="n_regionkey"),
+        "base_category2": text_of(t.region, id="r_regionkey", name="r_name", category1_id=F.col("r_regionkey") % 3),
+        "base_category1": text_of(t.region, id="r_regionkey", name="r_name"),
+    }
+    details = dwd.order_detail(_shop_changes(t), _dic(t)).withColumn("row_time", F.to_timestamp("create_time"))
+    rows = dws.sku_order(dws.order_amounts(details), dims).drop("ts")
+    return rows.withColumns({n: F.col(n).cast("double") for n in dws.AMOUNTS})

@@ -83,9 +83,3 @@ def append_rows(df: DataFrame, columns: list[str], path: str, fmt: str = "parque
 
 def console(df: DataFrame):
     return df.writeStream.format("console").option("truncate", "false").start()
-
-
-def json_body(df: DataFrame, key: str, value: str, name: str = "value") -> DataFrame:
-    """One row with a JSON answer: the list of keys and that of values, in the order of the rows' ``rn``."""
-    rows = F.array_sort(F.collect_list(F.struct("rn", F.col(key).alias("k"), F.col(value).alias("v"))))
-    return df.agg(rows.alias("r")).select(F.to_json(F.struct(F.transform("r", lambda x: x["k"]).alias("categories"), F.transform("r", lambda x: x["v"]).alias("values"))).alias(name))
