@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,28 +23,25 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
-
-    The folder is the one that the session names in spark.checkpoint.dir. A temporary one is
-    set only where the session names none, as in tests on one machine.
-    """
-    context = df.sparkSession.sparkContext
+def _checkpoint_folder(context) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; on one machine alone a temporary one where it names none."""
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and go on from there."""
+    _checkpoint_folder(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 
 def shared_folder(df: DataFrame, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
-    import uuid
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{_checkpoint_folder(df.sparkSession.sparkContext)}/{name}-{uuid.uuid4().hex}"
 
 
 #: What tells rows apart in joins back to them: the id and the text. Rows equal in both are one document.

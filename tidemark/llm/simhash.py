@@ -181,8 +181,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, see
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int"))
     dealt = placed.select("key", "node", "component", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select("key", "node", "component", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")).join(sets, "node")
-    more = dealt.groupBy("key", "lo", "hi").applyInPandas(_tile_links(similarity), "u long, v long")
-    joined = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    more = cut(dealt.groupBy("key", "lo", "hi").applyInPandas(_tile_links(similarity), "u long, v long"))
+    joined = found
+    if not more.isEmpty():
+        joined = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     grouped = cut(classes.select("node", "first_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = cut(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")))
     known = cut(grouped.join(least, "component").select("node", "component_id"))
