@@ -23,10 +23,16 @@ def test_dirty_and_split(spark):
     values = [json.dumps(page), json.dumps({**page, "err": {"e": "1"}, "displays": []}), json.dumps({"common": {}, "start": {"s": "1"}, "err": {"e": "2"}, "ts": 2}), "no json", "[1]", None, ""]
     clean, dirty = etl.dirty_split(spark.createDataFrame([(v,) for v in values], "value string"))
     assert dirty.count() == 4
-    parts = {k: [json.loads(r[0]) for r in v.collect()] for k, v in etl.log_split(clean).items()}
+    parts = {k: [json.loads(r[0]) for r in v.collect()] for k, v in etl.log_split(etl.parsed(clean)).items()}
     assert {k: len(v) for k, v in parts.items()} == {"err": 2, "start": 1, "display": 2, "action": 2, "page": 2}
     assert set(parts["action"][0]) == {"common", "page", "action"} and set(parts["display"][0]) == {"common", "page", "ts", "display"}
     assert parts["start"] == [{"s": "1"}]
+    odd = {"common": {"mid": "m", "is_new": "1", "os": {"v": 3}}, "page": {"page_id": "home", "extra": [1]}, "ts": 5, "displays": None, "more": True, "err": None}
+    logs = etl.parsed(spark.createDataFrame([(json.dumps(odd),)], "value string"))
+    page = json.loads(etl.log_split(logs)["page"].collect()[0][0])
+    assert page == {k: v for k, v in odd.items() if k != "err"} and etl.log_split(logs)["err"].count() == 0  # no field is lost
+    repaired = logs.select(etl.with_is_new(F.col("log"), F.lit("0")).alias("v")).collect()[0][0]
+    assert json.loads(repaired) == {**odd, "common": {**odd["common"], "is_new": "0"}}
 
 
 def test_cart_and_missing_types(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_empty
-from ..schemas import LOG, STRINGS
+from ..schemas import STRINGS
 
 
 def drop_types(df: DataFrame, types: list[str], column: str = "type", keep_missing: bool = True) -> DataFrame:
@@ -73,33 +73,51 @@ def on_day(df: DataFrame, column: str, day: int) -> DataFrame:
     return df.where((F.col(column) >= F.expr(f"timestamp_ntz '{start} 00:00:00'")) & (F.col(column) < F.expr(f"timestamp_ntz '{start} 00:00:00' + interval 1 day")))
 
 
+def parsed(values: DataFrame) -> DataFrame:
+    """``value`` and ``log``, the JSON object it holds as a variant, with all its fields; null where it holds none."""
+    log = F.try_parse_json(F.col("value"))
+    return values.withColumn("log", log).withColumn("log", F.when(F.schema_of_variant("log").startswith("OBJECT"), F.col("log")))
+
+
 def dirty_split(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Log records that are JSON objects, and the ``value`` of all others, nulls too."""
-    tagged = values.withColumn("clean", is_object(F.col("value")))
-    return tagged.where("clean").drop("clean"), tagged.where("not clean").drop("clean")
+    tagged = parsed(values)
+    return tagged.where("log is not null").drop("log"), tagged.where("log is null").drop("log")
+
+
+def field(path: str, kind: str = "variant", log: str = "log") -> Column:
+    """A part of a log record; null where it is missing, null or of another kind."""
+    found = F.try_variant_get(log, f"$.{path}", kind)
+    return F.when(~F.is_variant_null(found), found) if kind == "variant" else found
 
 
-def is_object(value: Column) -> Column:
-    """Whether a text is a JSON object; null is none."""
-    parsed = F.try_parse_json(value)
-    return F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+def with_is_new(log: Column, flag: Column) -> Column:
+    """The record's JSON text with another ``common.is_new`` and all else as it is."""
+    new = F.parse_json(F.to_json(F.named_struct(F.lit("x"), flag)))
+    common = F.transform_values(F.try_variant_get(log, "$.common", "map<string,variant>"), lambda k, x: F.when(k == "is_new", F.variant_get(new, "$.x", "variant")).otherwise(x))
+    return F.to_json(F.transform_values(log.cast("map<string,variant>"), lambda k, x: F.when(k == "common", F.to_variant_object(common)).otherwise(x)))
 
 
-def log_split(values: DataFrame) -> dict[str, DataFrame]:
-    """The five outputs of clean log values, as JSON ``value``: err, start, display, action, page.
+def log_split(logs: DataFrame) -> dict[str, DataFrame]:
+    """The five outputs of :func:`parsed` log records, as JSON ``value``: err, start, display, action, page.
 
     An error goes out alone and leaves the record. A record with a start gives that alone. Any other gives a row for each
     display (common, page, ts, display) and each action (common, page, action) and the page record without these lists.
+    Fields of any name go on as they are.
     """
-    r = values.select(F.from_json("value", LOG).alias("r")).select("r.*")
-    body = lambda *c: F.to_json(F.struct(*c)).alias("value")
-    pages = r.where("start is null")
+    body = lambda **c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items()))).alias("value")
+    logs = logs.where("log is not null")
+    pages = logs.where(field("start").isNull())
+    common, page, ts = field("common"), field("page"), field("ts")
+    each = lambda name: pages.select(common.alias("common"), page.alias("page"), ts.alias("ts"), F.explode(field(name, "array<variant>")).alias("one"))
+    filled = lambda name: F.coalesce(F.size(field(name, "array<variant>")) > 0, F.lit(False))
+    rest = F.map_filter(F.col("log").cast("map<string,variant>"), lambda k, _: (k != "err") & ~((k == "displays") & filled("displays")) & ~((k == "actions") & filled("actions")))
     return {
-        "err": r.where("err is not null").select(F.to_json("err").alias("value")),
-        "start": r.where("start is not null").select(F.to_json("start").alias("value")),
-        "display": pages.select("common", "page", "ts", F.explode("displays").alias("display")).select(body("common", "page", "ts", "display")),
-        "action": pages.select("common", "page", F.explode("actions").alias("action")).select(body("common", "page", "action")),
-        "page": pages.select(body("common", "page", "ts", *(F.when(F.size(c) == 0, F.col(c)).alias(c) for c in ("displays", "actions")))),
+        "err": logs.where(field("err").isNotNull()).select(F.to_json(field("err")).alias("value")),
+        "start": logs.where(field("start").isNotNull()).select(F.to_json(field("start")).alias("value")),
+        "display": each("displays").select(body(common=F.col("common"), page=F.col("page"), ts=F.col("ts"), display=F.col("one"))),
+        "action": each("actions").select(body(common=F.col("common"), page=F.col("page"), action=F.col("one"))),
+        "page": pages.select(F.to_json(rest).alias("value")),
     }
 
 

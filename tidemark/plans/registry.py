@@ -128,7 +128,7 @@ select 'display', 2 * count(*) from events where event_type = 'view' union all
 select 'action', count(*) from events where event_type = 'click' union all
 select 'page', count(*) from events where event_type <> 'signup'""")
 def five_way_split(t):
-    parts = [rows.select(F.lit(name).alias("tag")) for name, rows in etl.log_split(_log_values(t)).items()]
+    parts = [rows.select(F.lit(name).alias("tag")) for name, rows in etl.log_split(etl.parsed(_log_values(t))).items()]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import etl, routing
 from ..plans import dws
 from ..sinks.writers import once_per_batch, upsert, upserted
+from . import processors
 
 
 def run(df: DataFrame, checkpoint: str, path: str | None = None, each: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None):
@@ -19,18 +20,37 @@ def run(df: DataFrame, checkpoint: str, path: str | None = None, each: Callable[
 
 
 def split_logs(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that parts log values into dirty data and the five log tables, reading the batch once."""
+    """A batch function that parts log values into dirty data and the five log tables, parsing and reading the batch once."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        clean, dirty = etl.dirty_split(batch)
-        for name, rows in {"dirty_data": dirty, **etl.log_split(clean)}.items():
+        logs = etl.parsed(batch.select("value")).persist()
+        for name, rows in {"dirty_data": logs.where("log is null").select("value"), **etl.log_split(logs)}.items():
             once_per_batch(f"{path}/{name}")(rows, batch_id)
-        batch.unpersist()
+        logs.unpersist()
 
     return each
 
 
+def repaired_logs(values: DataFrame, delay: str = "3 seconds") -> DataFrame:
+    """``value`` of the log records of a stream, with ``common.is_new`` repaired by device."""
+    logs = etl.parsed(values).where("log is not null")
+    rows = logs.select(etl.field("common.mid", "string").alias("mid"), etl.field("common.is_new", "string").alias("is_new"), F.timestamp_millis(etl.field("ts", "bigint")).alias("row_time"), "value")
+    repaired = processors.repair_is_new(rows.where("row_time is not null").withWatermark("row_time", delay))
+    return repaired.select(etl.with_is_new(F.parse_json("value"), F.col("is_new")).alias("value"))
+
+
+def log_job(values: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> list:
+    """Start the log split: dirty data by one query; parsed, repaired by device and split by another."""
+    dirty = etl.dirty_split(values)[1]
+    # Records without a time have no place in a device's days; they are split as they are.
+    untimed = etl.parsed(values).where("log is not null").where(etl.field("ts", "bigint").isNull()).select("value")
+    rest = dirty.unionByName(untimed)
+    return [
+        run(rest, f"{checkpoint}/dirty", each=split_logs(f"{path}/other"), trigger=trigger),
+        run(repaired_logs(values), f"{checkpoint}/logs", each=split_logs(f"{path}/logs"), trigger=trigger),
+    ]
+
+
 def route(config: Callable[[], DataFrame], path: str, facts: bool = False) -> Callable[[DataFrame, int], None]:
     """A batch function that routes change records by the configuration as it stands when the batch begins."""
 
@@ -58,11 +78,3 @@ def order_summaries(details: DataFrame, dims: dict[str, DataFrame]) -> tuple[Dat
     """Amounts by product and by province of the latest order lines."""
     amounts = dws.order_amounts(details)
     return dws.sku_order(amounts, dims), dws.province_order(amounts, dims["base_province"])
-
-
-def keywords(logs: DataFrame) -> DataFrame:
-    """Search words of page logs with ``row_time``; needs the table function ``ik_analyze``."""
-    logs.createOrReplaceTempView("page_logs")
-    found = etl.search_words(logs).select("row_time", F.col("page.item").alias("fullword"))
-    found.createOrReplaceTempView("search_logs")
-    return logs.sparkSession.sql("select row_time, word as keyword from search_logs, lateral ik_analyze(fullword)")

@@ -1,7 +1,7 @@
-"""Keyed state machines for ``transformWithState``, in event time.
+"""Keyed state machines for ``transformWithState``, in event time but for the last.
 
 Rows of a key are taken in the order of their time within a batch. State that is to go after a time is cleared by a
-timer. All give JSON-free rows, so that a window may follow.
+timer.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ _DAY = T.StructType([T.StructField("day", T.DateType())])
 
 
 class _ByTime(StatefulProcessor):
-    """Calls ``step(row, state)`` for each row in order; ``step`` gives the rows to emit and the state to keep."""
+    """Calls ``step(row)`` for each row in the order of ``row_time``; rows of one time stay in the order they came in."""
 
     ttl_days: int | None = None
 
@@ -28,12 +28,14 @@ class _ByTime(StatefulProcessor):
         return ["day"]
 
     def handleInputRows(self, key, rows, timerValues):
-        for row in sorted(rows, key=lambda r: (r["row_time"], r["event_id"])):
+        last = None
+        for row in sorted(rows, key=lambda r: r["row_time"]):
             yield from self.step(row)
-            if self.ttl_days:
-                for at in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(at)
-                self.handle.registerTimer(int((row["row_time"] + timedelta(days=self.ttl_days)).timestamp() * 1000))
+            last = row["row_time"]
+        if self.ttl_days and last is not None:  # one timer for a key, moved on once a batch
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(int((last + timedelta(days=self.ttl_days)).timestamp() * 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         for state in self.states.values():
@@ -89,7 +91,7 @@ class HomeDetailVisitor(_ByTime):
         name, day = ("home" if row["page_id"] == "home" else "detail"), row["row_time"].date()
         if self.last(name) != day:
             self.keep(day, name)
-            yield Row(event_id=row["event_id"], row_time=row["row_time"], home_uv=int(name == "home"), detail_uv=int(name == "detail"))
+            yield Row(row_time=row["row_time"], home_uv=int(name == "home"), detail_uv=int(name == "detail"))
 
 
 class DailyUser(_ByTime):
@@ -110,7 +112,44 @@ class Login(_ByTime):
         if last == day:
             return
         self.keep(day)
-        yield Row(event_id=row["event_id"], row_time=row["row_time"], uu=1, back=int(last is not None and (day - last).days >= 8))
+        yield Row(row_time=row["row_time"], uu=1, back=int(last is not None and (day - last).days >= 8))
+
+
+class Retract(StatefulProcessor):
+    """Each row, and before each repeat of a key the row before it with its amounts negated and its own time.
+
+    The last row is kept until ``seconds`` of event time have passed.
+    """
+
+    seconds = 10
+
+    def __init__(self, schema: T.StructType, amounts: list[str]):
+        self.schema, self.amounts = schema, amounts
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("row", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        make = Row(*self.schema.names)
+        before = make(*self.state.get()) if self.state.exists() else None
+        for row in rows:
+            if before is not None:
+                values = before.asDict()
+                yield make(*(-v if n in self.amounts and v is not None else v for n, v in values.items()))
+            yield row
+            before = row
+        self.state.update(tuple(before[n] for n in self.schema.names))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(int((before["row_time"] + timedelta(seconds=self.seconds)).timestamp() * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.state.exists():
+            self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 class LastWithin(StatefulProcessor):
@@ -147,11 +186,13 @@ def _add(schema: T.StructType, *names: str) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
 
-_METRIC = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("row_time", T.TimestampType())])
+_METRIC = T.StructType([T.StructField("row_time", T.TimestampType())])
 
 
-def apply(df: DataFrame, processor: StatefulProcessor, key: str, schema: T.StructType) -> DataFrame:
-    return df.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime", eventTimeColumnName="row_time" if "row_time" in schema.names else "")
+def apply(df: DataFrame, processor: StatefulProcessor, key: str, schema: T.StructType, time_mode: str = "eventTime") -> DataFrame:
+    """Runs a processor by key; in event time the rows it gives keep ``row_time`` and its watermark, so that a window may follow."""
+    times = {"eventTimeColumnName": "row_time"} if time_mode == "eventTime" and "row_time" in schema.names else {}
+    return df.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=time_mode, **times)
 
 
 def repair_is_new(df: DataFrame, key: str = "mid") -> DataFrame:
@@ -172,3 +213,13 @@ def daily_users(df: DataFrame, key: str = "user_id") -> DataFrame:
 
 def login_metrics(df: DataFrame, key: str = "user_id") -> DataFrame:
     return apply(df, Login(), key, _add(_METRIC, "uu", "back"))
+
+
+def retracted(df: DataFrame, amounts: list[str], key: str = "id") -> DataFrame:
+    """Rows with their repeats taken back: ``amounts`` are numbers."""
+    return apply(df, Retract(df.schema, amounts), key, df.schema)
+
+
+def last_within(df: DataFrame, key: str = "id") -> DataFrame:
+    """The last of a key's rows by ``row_ts`` within five seconds of processing time from the first."""
+    return apply(df, LastWithin(df.schema), key, df.schema, time_mode="processingTime")
