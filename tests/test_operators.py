@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -9,6 +10,7 @@ from tidemark.operators import etl, joins
 from tidemark.plans import dwd
 from tidemark.sinks import writers
 from tidemark.sources import readers
+from tidemark.streaming import jobs
 
 
 def changes(spark, *rows):
@@ -95,7 +97,37 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, writers.upserted(spark, str(tmp_path / "t"), ["id"]).collect())) == [(1, 2), (2, 0), (3, 1)]
 
 
+def test_upserts_are_merged(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = writers.upsert(path, ["id"], ["n"], every=2)
+    for i in (0, 1, 2, 2, 3, 4, 5):
+        write(spark.createDataFrame([(i, i), (99, i)], "id int, n int"), i)
+        assert sorted(map(tuple, writers.upserted(spark, path, ["id"]).collect())) == [*((k, k) for k in range(i + 1)), (99, i)]
+    read = {f.split("/t/")[1].rsplit("/", 1)[0] for f in writers.upserted(spark, path, ["id"]).inputFiles()}
+    assert read and writers._kept(spark, path, ["id"]).where("batch_id <= 4 and id = 0").count() == 1
+    assert spark.read.parquet(f"{path}/kind=merged/at=4").count() == 6
+
+
+def test_dimension_job(spark, tmp_path):
+    config = spark.createDataFrame([("user_info", None, "dim_user", "dim", "id,name", None, "SALT_BUCKETS=4"), ("base_x", None, "dim_x", "dim", "code,v", "code", None)], schemas.CONFIG)
+    each = jobs.dimensions(lambda: config, str(tmp_path))
+    each(changes(spark, ("user_info", "insert", "1", {"id": "1", "name": "a", "secret": "s"}, None), ("user_info", "update", "2", {"id": "1", "name": "b"}, None), ("base_x", "insert", "1", {"code": "c", "v": None}, None), ("other", "insert", "1", {"id": "9"}, None)), 0)
+    each(changes(spark, ("user_info", "insert", "3", {"id": "2", "name": "z"}, None), ("user_info", "delete", "4", {"id": "1", "name": "gone"}, None), ("base_x", "insert", "5", {"v": "no key"}, None)), 1)
+    user, x = (r.asDict() for r in config.collect())
+    assert sorted(map(tuple, jobs.dimension(spark, str(tmp_path), user).collect())) == [("1", "b"), ("2", "z")]
+    assert [tuple(r) for r in jobs.dimension(spark, str(tmp_path), x).collect()] == [("c", None)]
+
+
+def test_dimension_tables_on_demand(spark):
+    name = writers.ensure_dimension(spark, {"sink_table": "dim_on_demand", "sink_columns": "name,age", "sink_pk": None, "sink_extend": "SALT_BUCKETS=4"})
+    assert spark.table(name).columns == ["id", "name", "age"] and readers.row_query(spark, name, id="1").count() == 0
+    spark.sql(f"drop table {name}")
+    for bad in ({"sink_table": "x; drop table y", "sink_columns": "a"}, {"sink_table": "x", "sink_columns": "a` int, `b"}):
+        with pytest.raises(ValueError, match="plain name"):
+            writers.ensure_dimension(spark, bad)
+
+
 def test_segmentation(spark):
     assert text.segment("小米手机 Mi14 5G", frozenset({"小米", "手机"})) == ["小米", "手机", "mi14", "5g"]
     assert text.segment(None) == [] and text.segment("中文") == ["中", "文"]
-    assert writers.dimension_columns({"sink_columns": "a,b", "sink_pk": None}) == (["a", "b"], "id")
+    assert writers.dimension_columns({"sink_columns": "a,b", "sink_pk": None}) == (["id", "a", "b"], "id")

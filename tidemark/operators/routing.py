@@ -16,14 +16,14 @@ def current_config(changes: DataFrame, sink_type: str, key: tuple[str, ...]) ->
     return latest(rows, list(key), ["ts_ms"]).where("op <> 'd'").drop("op", "ts_ms")
 
 
-def route_dimensions(changes: DataFrame, config: DataFrame, drop_deletes: bool = False) -> DataFrame:
-    """Records of the tables that the configuration names: ``sink_table, type, data`` with the listed columns alone.
+def route_dimensions(changes: DataFrame, config: DataFrame, drop_deletes: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of the tables that the configuration names: ``sink_table, type, data`` with the listed columns alone, and the columns ``keep``.
 
     The configuration has a row for each routed table, so it is small; Spark broadcasts it below its own threshold.
     """
     rows = changes.where("type <> 'delete'") if drop_deletes else changes
     joined = rows.join(config.select("source_table", "sink_table", "sink_columns"), F.col("table") == F.col("source_table"))
-    return joined.select("sink_table", "type", listed_entries(F.col("data"), F.col("sink_columns")).alias("data"))
+    return joined.select("sink_table", "type", listed_entries(F.col("data"), F.col("sink_columns")).alias("data"), *keep)
 
 
 def route_facts(changes: DataFrame, config: DataFrame) -> DataFrame:

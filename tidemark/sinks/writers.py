@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,43 +39,65 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(ranked)).where("__n = 1").drop("__n")
 
 
-def upsert(path: str, keys: list[str], order: list[str]):
+def upsert(path: str, keys: list[str], order: list[str], every: int = 16):
     """A ``foreachBatch`` function that keeps the last row of each key.
 
-    A batch is appended to its own folder after it is cut down to a row for each key, and :func:`upserted` reads the
-    last row of each key over all batches; a replayed batch replaces its folder. Nothing is rewritten.
+    A batch is cut down to a row for each key, the last by ``order``, and written to a folder of its own; a replayed
+    batch replaces its folder. Every ``every`` batches what :func:`upserted` gives so far is written as one merged
+    folder, so that reads never go back further than that.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        latest(batch, keys, order).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/kind=batch/at={batch_id}")
+        if batch_id and batch_id % every == 0:
+            _kept(batch.sparkSession, path, keys, batch_id).write.mode("overwrite").parquet(f"{path}/kind=merged/at={batch_id}")
 
     return write
 
 
-def upserted(spark, path: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """What :func:`upsert` has kept; later batches win unless ``order`` is given."""
-    return latest(spark.read.parquet(path), keys, order or ["batch_id"]).drop("batch_id")
+def _kept(spark, path: str, keys: list[str], newest: int | None = None) -> DataFrame:
+    """The last row of each key, with its ``batch_id``: of the last merged folder that a later batch shows to be whole, and of the batches after it."""
+    rows = spark.read.parquet(path)
+    folders = [(r["kind"], r["at"]) for r in rows.select("kind", "at").distinct().collect()]  # a row for each folder
+    newest = max(at for kind, at in folders if kind == "batch") if newest is None else newest
+    merged = max((at for kind, at in folders if kind == "merged" and at < newest), default=-1)
+    wanted = ((F.col("kind") == "merged") & (F.col("at") == merged)) | ((F.col("kind") == "batch") & (F.col("at") > merged) & (F.col("at") <= newest))
+    return latest(rows.where(wanted).drop("kind", "at"), keys, ["batch_id"])
+
+
+def upserted(spark, path: str, keys: list[str]) -> DataFrame:
+    """What :func:`upsert` has kept; later batches win."""
+    return _kept(spark, path, keys).drop("batch_id")
+
+
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
 def dimension_columns(config: dict[str, str | None]) -> tuple[list[str], str]:
-    """A dimension table's columns and key from its routing row; the key is ``id`` unless named."""
-    return [c for c in (config.get("sink_columns") or "").split(",") if c], config.get("sink_pk") or "id"
+    """A dimension table's columns and key from its routing row; the key is ``id`` unless named, and among the columns."""
+    key = config.get("sink_pk") or "id"
+    columns = [c for c in (config.get("sink_columns") or "").split(",") if c]
+    return (columns if key in columns else [key, *columns]), key
 
 
 def ensure_dimension(spark, config: dict[str, str | None], database: str = "default") -> str:
-    """Create the dimension table of a routing row unless it exists; every column is text."""
-    columns, key = dimension_columns(config)
-    if key not in columns:
-        columns = [key, *columns]
-    name = f"{database}.{config['sink_table']}"
-    spark.sql(f"create table if not exists {name} ({', '.join(f'`{c}` string' for c in columns)}) using parquet {config.get('sink_extend') or ''}")
-    return name
+    """Create the dimension table of a routing row unless it exists; every column is text.
+
+    Names other than plain ones are refused. ``sink_extend`` holds options of another engine's tables and is not used.
+    """
+    columns, _ = dimension_columns(config)
+    for name in (database, config["sink_table"] or "", *columns):
+        if not _NAME.fullmatch(name):
+            raise ValueError(f"not a plain name: {name!r}")
+    table = f"`{database}`.`{config['sink_table']}`"
+    spark.sql(f"create table if not exists {table} ({', '.join(f'`{c}` string' for c in columns)}) using parquet")
+    return f"{database}.{config['sink_table']}"
 
 
-def dimension_rows(df: DataFrame, config: dict[str, str | None]) -> DataFrame:
+def dimension_rows(df: DataFrame, config: dict[str, str | None], *more: str) -> DataFrame:
     """Text rows of one dimension from routed records; nulls stay null."""
-    columns, key = dimension_columns(config)
-    return df.select(*(F.col("data")[c].cast("string").alias(c) for c in dict.fromkeys([key, *columns])))
+    columns, _ = dimension_columns(config)
+    return df.select(*(F.col("data")[c].cast("string").alias(c) for c in columns), *more)
 
 
 def append_rows(df: DataFrame, columns: list[str], path: str, fmt: str = "parquet") -> None:

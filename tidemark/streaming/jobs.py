@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import etl, routing
 from ..plans import dws
-from ..sinks.writers import once_per_batch, upsert, upserted
+from ..sinks.writers import dimension_columns, dimension_rows, once_per_batch, upsert, upserted
 from . import processors
 
 
@@ -61,17 +61,43 @@ def route(config: Callable[[], DataFrame], path: str, facts: bool = False) -> Ca
     return each
 
 
+def dimensions(config: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that routes change records to dimension tables and keeps the last row of each key.
+
+    A table is there as soon as its routing row is. The configuration has a row for each table and is read when the
+    batch begins. Records are in the order of ``ts``, then in that of the batch.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows, now = [r.asDict() for r in config().collect()], config()
+        numbered = batch.withColumn("__n", F.monotonically_increasing_id())
+        routed = routing.route_dimensions(numbered.where("data is not null"), now, drop_deletes=True, keep=("ts", "__n")).persist()
+        for row in rows:
+            _, key = dimension_columns(row)
+            mine = dimension_rows(routed.where(F.col("sink_table") == row["sink_table"]), row, F.col("ts").cast("bigint").alias("__ts"), "__n")
+            upsert(f"{path}/{row['sink_table']}", [key], ["__ts", "__n"])(mine.where(F.col(key).isNotNull()), batch_id)
+        routed.unpersist()
+
+    return each
+
+
+def dimension(spark, path: str, row: dict[str, str | None]) -> DataFrame:
+    """The rows of a dimension table that :func:`dimensions` keeps."""
+    columns, key = dimension_columns(row)
+    return upserted(spark, f"{path}/{row['sink_table']}", [key]).select(*columns)
+
+
 def keep_latest_details(path: str) -> Callable[[DataFrame, int], None]:
     """A batch function that keeps the last row of each order line. A summary is then a batch over :func:`latest_details`.
 
-    A negated earlier row would carry its old time, which a window behind a watermark drops; keeping the last row gives
-    the same net amounts.
+    The other way to the same net amounts is :func:`tidemark.streaming.processors.retracted`, in which a negated earlier
+    row carries its old time and is dropped by a window that has closed.
     """
     return upsert(path, ["id"], ["row_time"])
 
 
 def latest_details(spark, path: str) -> DataFrame:
-    return upserted(spark, path, ["id"], ["batch_id", "row_time"])
+    return upserted(spark, path, ["id"])
 
 
 def order_summaries(details: DataFrame, dims: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
