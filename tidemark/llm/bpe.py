@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -50,8 +50,8 @@ def _merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 @lru_cache(maxsize=2)
-def _vocabulary(path: str) -> tuple[list[list[int]], list[int], pa.Array, dict[str, int]]:
-    """The rank map of pairs of ids by bucket, keys and ranks in turn; the bytes' ids; the tokens' bytes; the tokens that no merges reach."""
+def _vocabulary(path: str) -> tuple[list[list[int]], list[int], list[str], dict[str, int]]:
+    """The rank map of pairs of ids by bucket, keys and ranks in turn; the bytes' ids; the tokens' bytes in hex; the tokens that no merges reach."""
     ranks = load_ranks(path)
     pairs: list[list[int]] = [[] for _ in range(_PAIR_BUCKETS)]
     for token, rank in ranks.items():
@@ -59,11 +59,11 @@ def _vocabulary(path: str) -> tuple[list[list[int]], list[int], pa.Array, dict[s
             if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                 key = a * 65_536 + b
                 pairs[key % _PAIR_BUCKETS] += [key + _KEY_BASE, rank]
-    pieces = [b""] * (max(ranks.values()) + 1)
+    pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token
+        pieces[rank] = token.hex()
     unreached = {token.hex().upper(): rank for token, rank in ranks.items() if len(token) > 1 and _merge(token, ranks) != [rank]}
-    return pairs, [ranks[bytes([i])] for i in range(256)], pa.array(pieces, pa.binary()), unreached
+    return pairs, [ranks[bytes([i])] for i in range(256)], pieces, unreached
 
 
 def _with_literals(df: DataFrame, **tables) -> DataFrame:
@@ -182,99 +182,79 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def _mapped(df: DataFrame, take: list[str], body, given, **new: T.DataType) -> DataFrame:
-    """``df`` without the columns ``take`` and with ``new``, as ``body(*taken, given)`` makes them of some rows at a time."""
+def _looked_up(df: DataFrame, tokens: str, found: tuple) -> DataFrame:
+    """``df`` without ``tokens`` and with ``__known, __rare``, looked up in ``found`` some rows at a time; see :func:`_look_up`."""
     small_batches(df.sparkSession)
-    kept = df.drop(*take)
-    schema = T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in new.items())])
-    shared, n = df.sparkSession.sparkContext.broadcast(given), len(kept.columns)
+    kept = df.drop(tokens)
+    schema = T.StructType([*kept.schema.fields, T.StructField("__known", T.ArrayType(_IDS)), T.StructField("__rare", T.ArrayType(T.StringType()))])
+    shared, n = df.sparkSession.sparkContext.broadcast(found), len(kept.columns)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.columns
-            yield pa.RecordBatch.from_arrays([*columns[:n], *body(*columns[n:], shared.value)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *_look_up(batch.column(n), shared.value)], names=schema.names)
+            pa.default_memory_pool().release_unused()
 
-    return df.select(*kept.columns, *take).mapInArrow(over, schema)
+    return df.select(*kept.columns, tokens).mapInArrow(over, schema)
 
 
 def _look_up(tokens: pa.ListArray, found: tuple) -> tuple[pa.ListArray, pa.ListArray]:
-    """The ids of known words with -1 for each other word, and these words in order."""
-    words, starts, lengths, ids = found  # the last run is [-1]
+    """Each row's other words in order, and the ids of its known words in one list more than these: up to each of them and after the last."""
+    words, starts, lengths, ids = found  # the last run is that of an unknown word, empty
     flat, offsets = tokens.flatten(), _offsets(tokens)
     at = pc.fill_null(pc.index_in(flat, value_set=words), len(words)).to_numpy()
     rare = at == len(words)
-    known = _runs(ids, starts[at], lengths[at])
-    return _lists(_ends(lengths[at])[offsets], known), _lists(_ends(rare)[offsets], flat.filter(pa.array(rare)))
+    known, ends = _runs(ids, starts[at], lengths[at]), _ends(lengths[at])
+    # A list ends where a rare word stands and where its row ends.
+    stops = np.concatenate([2 * np.flatnonzero(rare) + 1, 2 * offsets[1:]])
+    stops = np.sort(stops, kind="stable") // 2
+    lists = _lists(np.concatenate(([0], ends[stops])), pa.array(known, pa.int32()))
+    rare_before = _ends(rare)[offsets]
+    return _lists(rare_before + np.arange(len(offsets)), lists), _lists(rare_before, flat.filter(pa.array(rare)))
 
 
-def _put_together(known: pa.ListArray, folded: pa.ListArray, pieces: pa.Array) -> tuple[pa.ListArray, pa.Array]:
-    """The ids with the folded words in their places, and the ids' pieces, concatenated."""
-    ids, words = known.flatten().to_numpy(), folded.flatten()
-    gaps = ids < 0
-    starts, lengths = np.arange(len(ids)), np.ones(len(ids), np.int64)
-    ends = _ends(pc.list_value_length(words).to_numpy())
-    starts[gaps], lengths[gaps] = len(ids) + ends[:-1], np.diff(ends)
-    whole = _runs(np.concatenate((ids, words.flatten().to_numpy())), starts, lengths)
-    offsets = _ends(lengths)[_offsets(known)]
-    return _lists(offsets, pa.array(whole, pa.int32())), _joined(whole, offsets, pieces)
+def _concatenated(ids: Column, pieces: Column) -> Column:
+    """The pieces of ids, given in hex by id, as one binary."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
-def _joined(ids: np.ndarray, offsets: np.ndarray, pieces: pa.Array) -> pa.Array:
-    """The pieces of each run of ids as one binary: pieces that are taken one after the other stand so in memory."""
-    _, ends, data = pieces.take(pa.array(ids, pa.int32())).buffers()
-    rows = np.frombuffer(ends, np.int32)[offsets] if len(ids) else np.zeros(len(offsets), np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer(rows.tobytes()), data or pa.py_buffer(b"")])
-
-
-def _decoded(ids: pa.ListArray, pieces: pa.Array) -> tuple[pa.Array]:
-    whole = _joined(ids.flatten().to_numpy(), _offsets(ids), pieces)
-    return (pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary())),)
-
-
-def _digested(known: pa.ListArray, folded: pa.ListArray, pieces: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """The number of ids, and the digests of the ids and of their pieces, once put together."""
-    ids, decoded = _put_together(known, folded, pieces)
-    flat, offsets = ids.values.to_numpy().astype("<u4"), _offsets(ids)
-    of_ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]
-    of_pieces = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
-    return pa.array(np.diff(offsets), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_pieces, pa.string())
-
-
-def encode(docs: DataFrame, path: str, pattern: str, head: int = HEAD, longest: int = LONGEST) -> DataFrame:
-    """All columns of ``docs``, ``ids array<int>`` of the whole ``text`` without special tokens, and ``decoded binary`` of the ids.
+def encode(docs: DataFrame, path: str, pattern: str, head: int = HEAD, longest: int = LONGEST, columns: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs``, or ``columns``, ``ids array<int>`` of the whole ``text`` without special tokens, and ``decoded binary`` of the ids.
 
     Each match of ``pattern`` is encoded separately. The words are counted over all texts. The most frequent, ``head``
     of them at most and none above ``longest`` bytes, are folded once each and broadcast with their ids, at most some
     60 MB whatever the input; texts look their words up there, some rows at a time. Every other word is folded where it
-    stands by the same columns, and its ids are put in their place. So the texts are never shuffled. Null and empty
-    texts have no ids. Repeated rows, null ids and other columns stay as they are; columns called ``ids`` and
-    ``decoded`` are replaced. No rows give no rows.
+    stands by the same columns, and its ids are put in their place. So the texts are never shuffled. The time for one
+    match grows with the square of its length. Null and empty texts have no ids. Repeated rows, null ids and other
+    columns stay as they are; columns called ``ids`` and ``decoded`` are replaced. No rows give no rows.
     """
-    return _encoded(docs, path, pattern, head, longest, [], _put_together, ids=_IDS, decoded=T.BinaryType())
+    coded = _encoded(docs, path, pattern, head, longest, columns)
+    return _with_literals(coded, __pieces=(Codec(path, pattern).pieces, "array<string>")).withColumn("decoded", _concatenated(F.col("ids"), F.col("__pieces"))).drop("__pieces")
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, head: int, longest: int, drop: list[str], body, **new: T.DataType) -> DataFrame:
-    """``docs`` without the columns ``drop`` and with ``new``, as ``body`` makes them of known words' ids and the other words' folds."""
+def _encoded(docs: DataFrame, path: str, pattern: str, head: int, longest: int, columns: list[str] | None = None) -> DataFrame:
+    """``docs``, or its ``columns``, with ``ids``: known words' ids and the other words' folds, put together."""
     codec = Codec(path, pattern)
     words = cut(distinct_words(docs, codec).where(F.octet_length("word") <= longest))  # read twice, counted once
     table = codec.with_ranks(_head(words, head).select("word"), "ids", lambda encode_word: encode_word(F.col("word"))).toArrow()  # at most ``head`` words of ``longest`` bytes
     known, found = table["word"].combine_chunks().cast(pa.string()), table["ids"].combine_chunks()
-    lengths = np.append(pc.list_value_length(found).to_numpy(), 1)
-    found = (known, _ends(lengths)[:-1], lengths, np.append(found.flatten().to_numpy(), -1).astype(np.int32))
+    lengths = np.append(pc.list_value_length(found).to_numpy(), 0).astype(np.int32)
+    found = (known, _ends(lengths)[:-1].astype(np.int32), lengths, found.flatten().to_numpy().astype(np.int32))
 
-    coded = docs.drop(*new).withColumn("__tokens", codec.tokens(F.col("text"))).drop(*drop)
-    coded = _mapped(coded, ["__tokens"], _look_up, found, __known=_IDS, __rare=T.ArrayType(T.StringType()))
-    coded = codec.with_ranks(coded, "__folded", lambda encode_word: F.transform("__rare", encode_word)).drop("__rare")
-    return _mapped(coded, ["__known", "__folded"], body, codec.pieces, **new)
+    kept = [c for c in columns or docs.columns if c not in ("ids", "decoded")]
+    coded = _looked_up(docs.select(*kept, codec.tokens(F.col("text")).alias("__tokens")), "__tokens", found)
+    put = lambda encode_word: F.flatten(F.zip_with("__known", F.transform("__rare", encode_word), lambda ids, fold: F.concat(ids, F.coalesce(fold, F.array().cast(_IDS)))))
+    return codec.with_ranks(coded, "ids", put).drop("__known", "__rare")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """All columns of a written table and ``decoded binary``, the bytes of ``ids``; null ids give null."""
-    wide = encoded.drop("decoded").withColumn("__ids", F.col("ids"))
-    return _mapped(wide, ["__ids"], _decoded, Codec(path, pattern).pieces, decoded=T.BinaryType())
+    """All columns of a table and ``decoded binary``, the bytes of ``ids``; null ids give null."""
+    return _with_literals(encoded.drop("decoded"), __pieces=(Codec(path, pattern).pieces, "array<string>")).withColumn("decoded", _concatenated(F.col("ids"), F.col("__pieces"))).drop("__pieces")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``docs``; ids as little-endian unsigned 32-bit integers."""
-    new = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    return _encoded(docs.select("doc_id", "text"), path, pattern, HEAD, LONGEST, ["text"], _digested, **new)
+    coded, pieces = _encoded(docs.select("doc_id", "text"), path, pattern, HEAD, LONGEST, ["doc_id"]), Codec(path, pattern).pieces
+    numbers = [struct.pack("<I", i).hex() for i in range(len(pieces))]
+    wide = _with_literals(coded, __pieces=(pieces, "array<string>"), __numbers=(numbers, "array<string>"))
+    digest = lambda texts: F.sha2(_concatenated(F.col("ids"), F.col(texts)), 256)
+    return wide.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("__numbers").alias("ids_sha256"), digest("__pieces").alias("decoded_sha256"))
