@@ -130,4 +130,5 @@ def test_dimension_tables_on_demand(spark):
 def test_segmentation(spark):
     assert text.segment("小米手机 Mi14 5G", frozenset({"小米", "手机"})) == ["小米", "手机", "mi14", "5g"]
     assert text.segment(None) == [] and text.segment("中文") == ["中", "文"]
+    assert text.segment("Phone XS (A21) 256GB 深灰色 移动联通电信4G手机 双卡双待") == ["phone", "xs", "a21", "256gb", "深", "灰色", "移动", "联通", "电信", "4g", "手机", "双卡双待"]
     assert writers.dimension_columns({"sink_columns": "a,b", "sink_pk": None}) == (["id", "a", "b"], "id")

@@ -1,7 +1,7 @@
 """Keyword segmentation.
 
 Runs of Latin letters and digits become one lower-case word each; runs of CJK characters are cut by the longest entry of
-a user dictionary, else into single characters. It is a rule of its own, not a copy of any dictionary segmenter.
+a dictionary, a small one of shop words unless another is given, else into single characters. It is a rule of its own, not a copy of any dictionary segmenter.
 """
 
 from __future__ import annotations
@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 LATIN = r"[A-Za-z0-9]+"
+#: Common words of shop titles in Chinese, longest match first; callers add their own.
+SHOP_WORDS = frozenset(
+    "手机 电脑 平板 笔记本 耳机 电视 相机 冰箱 洗衣机 空调 键盘 鼠标 显示器 充电器 数据线 智能 移动 联通 电信 全网通 双卡双待 游戏 "
+    "小米 华为 苹果 联想 香水 口红 唇膏 面膜 护肤 洗发水 牙膏 纸巾 大米 牛奶 零食 饮料 图书 玩具 女装 男装 童装 衬衫 外套 裙子 裤子 鞋子 运动鞋 "
+    "红色 蓝色 绿色 黑色 白色 灰色 金色 银色 粉色 紫色 官方 旗舰店 正品 新款 套装 礼盒 家用 女士 男士 儿童".split()
+)
 _PARTS = re.compile(r"[A-Za-z0-9]+|[㐀-鿿]+")
 
 
@@ -22,7 +28,7 @@ def latin_words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LATIN), F.lit(0)), F.lower)
 
 
-def segment(text: str | None, dictionary: frozenset[str] = frozenset()) -> list[str]:
+def segment(text: str | None, dictionary: frozenset[str] = SHOP_WORDS) -> list[str]:
     longest, words = max(map(len, dictionary), default=1), []
     for part in _PARTS.findall(text or ""):
         if part.isascii():
@@ -36,8 +42,8 @@ def segment(text: str | None, dictionary: frozenset[str] = frozenset()) -> list[
     return words
 
 
-def register(spark: SparkSession, dictionary: Iterable[str] = (), name: str = "ik_analyze") -> None:
-    """Make ``name(text)`` a table function with a row for each ``word``."""
+def register(spark: SparkSession, dictionary: Iterable[str] = SHOP_WORDS, name: str = "ik_analyze") -> None:
+    """Make ``name(text)`` a table function with a row for each ``word``, the words of ``dictionary`` whole."""
     known = frozenset(dictionary)
 
     @udtf(returnType="word: string")
