@@ -78,4 +78,5 @@ def test_odd_rows(spark, tmp_path):
             ids = sorted(r["doc_id"] for r in unique if r["doc_id"] is not None)
             assert ids == [1, 1, 3, 6, 7, 8, 9] and sum(r["doc_id"] is None for r in unique) == 2  # 2 is near 1; 4 and 5 are like 3
             texts = {r["doc_id"]: r["text"] for r in unique}
-            assert all(r["decoded"] == texts[r["doc_id"]] for r in table.collect()) and {r["doc_id"] for r in table.collect()} >= {1, 6}
+            coded = table.collect()
+            assert all(r["decoded"] == texts[r["doc_id"]] for r in coded if r["doc_id"] is not None) and {r["doc_id"] for r in coded} >= {1, 6}
