@@ -69,8 +69,8 @@ def _vocabulary(path: str) -> tuple[list[list[int]], list[int], list[str], dict[
 def _with_literals(df: DataFrame, **tables) -> DataFrame:
     """Adds columns that each hold one (value, type) as a scalar subquery of one row.
 
-    Plans name such a literal briefly and tasks get it as one block of bytes. Each column is to be used once, so that
-    the optimizer puts the literal in its place and no row carries it.
+    Plans name such a literal briefly and tasks get it as one block of bytes. Each column is to be used once, in the
+    next projection, so that the optimizer puts the literal in its place and no row carries it.
     """
     spark = df.sparkSession
     return df.select("*", *(spark.createDataFrame([(value,)], f"v {kind}").scalar().alias(name) for name, (value, kind) in tables.items()))
@@ -227,12 +227,12 @@ def encode(docs: DataFrame, path: str, pattern: str, head: int = HEAD, longest:
     match grows with the square of its length. Null and empty texts have no ids. Repeated rows, null ids and other
     columns stay as they are; columns called ``ids`` and ``decoded`` are replaced. No rows give no rows.
     """
-    coded = _encoded(docs, path, pattern, head, longest, columns)
-    return _with_literals(coded, __pieces=(Codec(path, pattern).pieces, "array<string>")).withColumn("decoded", _concatenated(F.col("ids"), F.col("__pieces"))).drop("__pieces")
+    give = lambda ids, pieces: F.struct(ids.alias("ids"), _concatenated(ids, pieces).alias("decoded"))
+    return _encoded(docs, path, pattern, head, longest, columns, give, __pieces=Codec(path, pattern).pieces)
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, head: int, longest: int, columns: list[str] | None = None) -> DataFrame:
-    """``docs``, or its ``columns``, with ``ids``: known words' ids and the other words' folds, put together."""
+def _encoded(docs: DataFrame, path: str, pattern: str, head: int, longest: int, columns: list[str] | None, give, **lists: list[str]) -> DataFrame:
+    """``docs``, or its ``columns``, with the fields that ``give(ids, *lists)`` makes of a row's ids: known words' ids and the other words' folds, put together."""
     codec = Codec(path, pattern)
     words = cut(distinct_words(docs, codec).where(F.octet_length("word") <= longest))  # read twice, counted once
     table = codec.with_ranks(_head(words, head).select("word"), "ids", lambda encode_word: encode_word(F.col("word"))).toArrow()  # at most ``head`` words of ``longest`` bytes
@@ -243,18 +243,20 @@ def _encoded(docs: DataFrame, path: str, pattern: str, head: int, longest: int,
     kept = [c for c in columns or docs.columns if c not in ("ids", "decoded")]
     coded = _looked_up(docs.select(*kept, codec.tokens(F.col("text")).alias("__tokens")), "__tokens", found)
     put = lambda encode_word: F.flatten(F.zip_with("__known", F.transform("__rare", encode_word), lambda ids, fold: F.concat(ids, F.coalesce(fold, F.array().cast(_IDS)))))
-    return codec.with_ranks(coded, "ids", put).drop("__known", "__rare")
+    coded = codec.with_ranks(coded, "__coded", lambda encode_word, *own: let(put(encode_word), lambda ids: give(ids, *own)), **{k: (v, "array<string>") for k, v in lists.items()})
+    return coded.select(*kept, "__coded.*")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """All columns of a table and ``decoded binary``, the bytes of ``ids``; null ids give null."""
-    return _with_literals(encoded.drop("decoded"), __pieces=(Codec(path, pattern).pieces, "array<string>")).withColumn("decoded", _concatenated(F.col("ids"), F.col("__pieces"))).drop("__pieces")
+    wide = _with_literals(encoded.drop("decoded"), __pieces=(Codec(path, pattern).pieces, "array<string>"))
+    return wide.withColumn("decoded", let(F.col("__pieces"), lambda pieces: _concatenated(F.col("ids"), pieces))).drop("__pieces")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``docs``; ids as little-endian unsigned 32-bit integers."""
-    coded, pieces = _encoded(docs.select("doc_id", "text"), path, pattern, HEAD, LONGEST, ["doc_id"]), Codec(path, pattern).pieces
+    pieces = Codec(path, pattern).pieces
     numbers = [struct.pack("<I", i).hex() for i in range(len(pieces))]
-    wide = _with_literals(coded, __pieces=(pieces, "array<string>"), __numbers=(numbers, "array<string>"))
-    digest = lambda texts: F.sha2(_concatenated(F.col("ids"), F.col(texts)), 256)
-    return wide.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("__numbers").alias("ids_sha256"), digest("__pieces").alias("decoded_sha256"))
+    digest = lambda ids, texts: F.sha2(_concatenated(ids, texts), 256)
+    give = lambda ids, texts, numbers: F.struct(F.size(ids).cast("long").alias("n_tokens"), digest(ids, numbers).alias("ids_sha256"), digest(ids, texts).alias("decoded_sha256"))
+    return _encoded(docs.select("doc_id", "text"), path, pattern, HEAD, LONGEST, ["doc_id"], give, __pieces=pieces, __numbers=numbers)
