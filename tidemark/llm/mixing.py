@@ -115,12 +115,13 @@ def mix(docs: DataFrame, block: int = 64, seed: str = "mix", share: float = 1.5,
 
 
 def mixed_documents(docs: DataFrame, block: int = 64, seed: str = "mix") -> DataFrame:
-    """``docs`` as the mix holds them, in the order of its slots: each copy of a row of which half the words or more are taken; all columns.
+    """``docs`` as the mix holds them: each copy of a row of which half the words or more are taken; all columns.
 
-    A copy stands where the first slot that takes from it does. Null and empty texts are in no slot. Of rows equal in
-    id and text the first of each copy stands for all. No rows give no rows.
+    A copy stands where the first slot that takes from it does: each partition, and so each file written, is a part of
+    the mix dealt out by key, in the order of its slots. Texts are shuffled once. Null and empty texts are in no slot.
+    Of rows equal in id and text the first of each copy stands for all. No rows give no rows.
     """
     _, fragments = mix(docs, block, seed)
     copies = fragments.groupBy(*KEY, "start", "copy").agg(F.min("slot").alias("__slot"), F.sum(F.col("end_word") - F.col("first_word")).alias("taken"), F.max("size").alias("size"))
     copies = copies.where("2 * taken >= size").groupBy(*KEY, "copy").agg(F.min("__slot").alias("__slot")).drop("copy")
-    return join_back(keyed(docs), copies, "inner").orderBy("__slot").drop("__slot")
+    return join_back(keyed(docs), copies, "inner").sortWithinPartitions("__slot").drop("__slot")
