@@ -6,9 +6,10 @@ from collections import Counter
 import brute
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_source_mixing import plain
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, lines
 from tidemark.llm.queries import vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -51,6 +52,25 @@ def test_stages(spark, tmp_path):
         assert r["decoded"] == mixed[r["doc_id"]] and list(r["ids"]) == enc.encode_ordinary(r["decoded"]) and r["n_tokens"] == len(r["ids"])
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_run(spark, tmp_path):
+    """All stages in one go, none written out between, give the rows of the stages one by one."""
+    whole = corpus_pipeline.run(spark, DATA)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert whole.columns == docs.columns and rows(whole) == rows(docs) and docs.count() > 200
+
+
+def test_a_function_of_python_over_cleaned_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, passage), (2, "own\n" + passage), (3, None)], "doc_id long, text string")
+    size = F.pandas_udf(lambda s: s.fillna("").str.len(), "long")
+    assert sorted(r[0] for r in lines.dedup_lines(docs).select(size("text")).collect()) == [0, 3, len(passage)]
+
+
 EXTRA = "n_deleted long, ids string, decoded string, component_id long, score double, raw string, features string, size long, slot long, copy long, taken long, kinds string, doc struct<x: int>"
 
 

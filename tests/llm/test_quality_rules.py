@@ -33,7 +33,7 @@ def test_depleted_documents_go(spark):
 
 
 def test_copies_count_as_documents(spark):
-    text = "\n".join(f"line {w} with some more words to be long enough {w}" for w in ("one", "two", "three"))
+    text = "\n".join(" ".join(f"{w}{chr(97 + k)}" for k in range(11)) for w in ("one", "two", "three"))
     df = spark.createDataFrame([(k, text, "s") for k in range(6)], "doc_id long, text string, source string")
     assert verdicts(df) == [(k, False, False) for k in range(6)] and verdicts(df.where("doc_id < 5")) == [(k, False, True) for k in range(5)]
 
@@ -41,7 +41,7 @@ def test_copies_count_as_documents(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_sql_agrees_where_the_method_rejects(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 300").select("doc_id", "text", "source")
-    mould = docs.selectExpr("doc_id + 100000 as doc_id", "concat('All rights of this site and its pages are reserved by the owners of it, ', doc_id, '\\n', substring(text, 1, 60), ' and so on with words to make it long enough to be read') as text", "'src1' as source")
+    mould = docs.selectExpr("doc_id + 100000 as doc_id", "concat('All rights of this site and its pages are reserved by the owners of it, and no part of it may be copied, kept or sent on in any form without their leave, number ', doc_id, '\\n', substring(text, 1, 60), ' and so on with words to be read') as text", "'src1' as source")
     both = docs.unionByName(mould.where("doc_id < 100200"))
     both.coalesce(1).write.parquet(str(tmp_path / "documents"))
     both = spark.read.parquet(str(tmp_path / "documents"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, words
 
 _DOC = "struct<none: boolean, id: bigint, hash: bigint, size: int>"
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
@@ -123,7 +123,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     gone = repeated_runs(docs.select("doc_id", "text"), min_words).select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone"))
     joined = docs.drop("n_deleted").withColumn("__own", _doc()).join(gone, F.col("__own") == F.col("__doc"), "left").drop("__own", "__doc")
-    left = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "__gone"), lambda i: F.get(x, i)), "\n"))
+    # The lines are a column, not bound inside the expression: a Python function over nested lambdas does not run.
+    parted = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"), lambda i: F.get("__lines", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
     deleted = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    return joined.withColumns({"text": text, "n_deleted": deleted}).drop("__gone")
+    return parted.withColumns({"text": text, "n_deleted": deleted}).drop("__gone", "__lines")
