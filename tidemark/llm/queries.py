@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators: each over its whole table, with production parameters."""
+"""The registered queries of the operators: each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, lines, mixing, quality, secrets, simhash, toxicity, urls, warc
+from . import bpe, embeddings, lines, merkle, mixing, quality, secrets, simhash, toxicity, urls, warc
 from .common import shared_folder
 
 
@@ -61,4 +61,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_source_mixing, op4_url_filter, op5_warc_archive, op6_quality_rules, op7_line_dedup, op8_simhash_near_dedup, op9_toxicity, op10_secret_scan)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_source_mixing, op4_url_filter, op5_warc_archive, op6_quality_rules, op7_line_dedup, op8_simhash_near_dedup, op9_toxicity, op10_secret_scan, op13_merkle_manifest)}
