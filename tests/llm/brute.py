@@ -189,3 +189,29 @@ def merkle(rows, fan=16):
                 x = _sha(*before, x, *after)
             out.append((r[0], leaf, trees[s][0], root, _sha(*(y for b, a in path for y in b + a)), x, x == root))
     return out
+
+
+def resampled(rows, target, percent=25, buckets=10_000):
+    """rows: (doc_id, text); target: texts. Rows of the query, sorted by score, id and the rest."""
+    import math
+    import zlib
+
+    low = {c: c + 32 for c in range(65, 91)}
+    apart = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def features(text):
+        w = [x for x in apart.split((text or "").translate(low)) if x]
+        return len(w), [zlib.crc32(f.encode()) % buckets for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    own, aim = [features(t) for _, t in rows], [features(t) for t in target]
+    s, t = Counter(b for _, f in own for b in f), Counter(b for _, f in aim for b in f)
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (all_s + buckets) / ((s[b] + 1) * (all_t + buckets)))) for b in range(buckets)]
+    out = []
+    for (doc_id, _), (n, f) in zip(rows, own):
+        h = int(hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        out.append([doc_id, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n >= 20])
+    out.sort(key=lambda r: (not r[4], -r[3], r[0] is None, r[0] or 0, r[1], r[2]))
+    draws = percent * sum(r[4] for r in out) // 100
+    return [(*r[:4], k + 1 if k < draws else None) for k, r in enumerate(out)]

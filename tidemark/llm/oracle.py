@@ -184,6 +184,30 @@ select doc_id, l.digest as leaf, s.digest as subroot, r.digest as root, sha256(p
 from leaves l join ends using (row) join subroots s on l.tree = s.pos cross join (select digest from top_nodes where size = 1) r"""
 
 
+def _resampling() -> str:
+    words = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return f"""
+with own as (select row_number() over () as row, doc_id, {words} as w from documents),
+aim as (select {words} as w from benchmark),
+features as (select row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from own),
+aims as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from aim),
+hashed as (select f, {_crc32('f')} % 10000 as bucket from (select f from features union select f from aims)),
+found as (select row, bucket from features join hashed using (f)),
+s as (select bucket, count(*) as n from found group by bucket),
+t as (select bucket, count(*) as n from aims join hashed using (f) group by bucket),
+gains as (
+  select s.bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from features) + 10000)::double / ((s.n + 1)::double * ((select count(*) from aims) + 10000)::double))) as bigint) as gain
+  from s left join t using (bucket)),
+weighed as (select row, count(*) as n_features, cast(sum(gain) as bigint) as gain from found join gains using (bucket) group by row),
+noisy as (
+  select doc_id, len(w) as n_words, cast(coalesce(n_features, 0) as bigint) as n_features, cast(coalesce((gain - ((gain % n_features) + n_features) % n_features) // n_features, 0) as bigint) as weight,
+    cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h
+  from own left join weighed using (row)),
+scored as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from noisy),
+ranked as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last, n_features, weight) as n from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and n <= (select 25 * count(*) // 100 from scored where n_words >= 20) then n end as rank from ranked"""
+
+
 ORACLE = {
     "op1_embedding_near_dedup": _EMBEDDINGS,
     "op3_source_mixing": _MIXING,
@@ -191,5 +215,6 @@ ORACLE = {
     "op5_warc_archive": _WARC,
     "op6_quality_rules": _QUALITY,
     "op10_secret_scan": _secrets(),
+    "op12_importance_resampling": _resampling(),
     "op13_merkle_manifest": _merkle(),
 }

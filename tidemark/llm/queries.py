@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, lines, merkle, mixing, quality, secrets, simhash, toxicity, urls, warc
+from . import bpe, embeddings, lines, merkle, mixing, quality, rans, resampling, secrets, simhash, toxicity, urls, warc
 from .common import shared_folder
 
 
@@ -61,8 +63,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return rans.archive(_table(spark, sf_dir, "documents"), Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_source_mixing, op4_url_filter, op5_warc_archive, op6_quality_rules, op7_line_dedup, op8_simhash_near_dedup, op9_toxicity, op10_secret_scan, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_source_mixing, op4_url_filter, op5_warc_archive, op6_quality_rules, op7_line_dedup, op8_simhash_near_dedup, op9_toxicity, op10_secret_scan, op11_rans_token_ids, op12_importance_resampling, op13_merkle_manifest)}
