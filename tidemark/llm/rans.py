@@ -24,7 +24,7 @@ SCALE, LOW, WORD_BITS = 20, 31, 32
 #: Ids of a block, states that take turns in it, and steps from one checkpoint to the next.
 BLOCK, LANES, CHECK = 65_536, 32, 512
 #: Blocks that a task codes at a time.
-GROUP = 32
+GROUP = 64
 _HEAD = struct.Struct("<4sHHIIII")  # magic, version, lanes, ids, words, checkpoints, steps between them
 _MAGIC, _VERSION = b"tANS", 1
 _DOCS = "array<struct<doc_id: bigint, start: bigint, n: bigint>>"
@@ -36,8 +36,8 @@ _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ſ", r"!-/:-@\[-`{-~"
 #: Stretches that no match of the splitter crosses. Letters, digits and signs that all versions of Unicode know end where
 #: something follows that is surely of another class; anything else reaches up to white space, where matches begin and end.
 _STRETCH = re.compile(
-    rf" ?[{_LETTERS}]++(?=[\x00-\x7F]|\Z)|'[{_LETTERS}]++(?=[\x00-\x7F]|\Z)| ?[0-9]++(?=[\x00-\x7F]|\Z)"
-    rf"| ?(?!'[A-Za-z])[{_SIGNS}]++(?=[A-Za-z0-9\x09-\x0D\x20]|\Z)| ?\S+|\s+(?!\S)|\s+"
+    rf" ?[{_LETTERS}]++(?![^\x00-\x7F])|'[{_LETTERS}]++(?![^\x00-\x7F])| ?[0-9]++(?![^\x00-\x7F])"
+    rf"| ?(?!'[A-Za-z])[{_SIGNS}]++(?![^A-Za-z0-9\x09-\x0D\x20])| ?\S+|\s+(?!\S)|\s+"
 )
 #: Stretches that are one match of the splitter.
 _ONE = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+")
@@ -50,13 +50,20 @@ _KNOWN, _LONGEST, _CHARS = 700_000, 256, 1 << 21
 
 
 class _Places(dict):
-    """Numbers of stretches; a new one gets the next number and is noted in ``new``."""
+    """Numbers of stretches; a new one gets the next number and is noted in ``new``.
+
+    One that is very long, or that engines may cut up differently, gets none and sets ``odd``.
+    """
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
+        self.odd = False
 
     def __missing__(self, stretch: str) -> int:
+        if len(stretch) > _LONGEST or _UNSURE.search(stretch):
+            self.odd = True
+            return 0
         self[stretch] = place = len(self)
         self.new.append(stretch)
         return place
@@ -94,11 +101,12 @@ class Encoder:
         at, counts, odd = [], [], {}
         for i, text in enumerate(texts):
             found = _STRETCH.findall(text)
-            if max(map(len, found), default=0) > _LONGEST or _UNSURE.search(text):
+            numbers = np.fromiter(map(self.places.__getitem__, found), np.int32, len(found))
+            if self.places.odd:
+                self.places.odd, numbers = False, numbers[:0]
                 odd[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-                found = []
-            counts.append(len(found))
-            at.append(np.fromiter(map(self.places.__getitem__, found), np.int32, len(found)))
+            counts.append(len(numbers))
+            at.append(numbers)
         self._learn()
         at = np.concatenate(at) if at else np.empty(0, np.int32)
         lengths = self.lengths[at]
@@ -228,7 +236,7 @@ class Coder:
         sizes = np.full(blocks, BLOCK)
         sizes[-1] = len(ids) - (blocks - 1) * BLOCK
         steps = -(-int(sizes.max()) // LANES)
-        padded = np.full(blocks * BLOCK, ids[0], np.int64)
+        padded = np.full(blocks * BLOCK, ids[0], np.int32)
         padded[: len(ids)] = ids
         lanes = np.ascontiguousarray(padded.reshape(blocks, BLOCK // LANES, LANES)[:, :steps].transpose(1, 0, 2)).reshape(steps, -1)
         ends, lane = np.repeat(sizes, LANES), np.tile(np.arange(LANES), blocks)
