@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions import text
 from tidemark.operators import etl, joins
 from tidemark.plans import dwd
 from tidemark.sinks import writers
@@ -103,9 +102,7 @@ def test_upserts_are_merged(spark, tmp_path):
     for i in (0, 1, 2, 2, 3, 4, 5):
         write(spark.createDataFrame([(i, i), (99, i)], "id int, n int"), i)
         assert sorted(map(tuple, writers.upserted(spark, path, ["id"]).collect())) == [*((k, k) for k in range(i + 1)), (99, i)]
-    read = {f.split("/t/")[1].rsplit("/", 1)[0] for f in writers.upserted(spark, path, ["id"]).inputFiles()}
-    assert read and writers._kept(spark, path, ["id"]).where("batch_id <= 4 and id = 0").count() == 1
-    assert spark.read.parquet(f"{path}/kind=merged/at=4").count() == 6
+    assert spark.read.parquet(f"{path}/kind=merged/at=5").count() == 7 and not (tmp_path / "t" / "kind=batch" / "at=1").exists()
 
 
 def test_dimension_job(spark, tmp_path):
@@ -125,10 +122,3 @@ def test_dimension_tables_on_demand(spark):
     for bad in ({"sink_table": "x; drop table y", "sink_columns": "a"}, {"sink_table": "x", "sink_columns": "a` int, `b"}):
         with pytest.raises(ValueError, match="plain name"):
             writers.ensure_dimension(spark, bad)
-
-
-def test_segmentation(spark):
-    assert text.segment("小米手机 Mi14 5G", frozenset({"小米", "手机"})) == ["小米", "手机", "mi14", "5g"]
-    assert text.segment(None) == [] and text.segment("中文") == ["中", "文"]
-    assert text.segment("Phone XS (A21) 256GB 深灰色 移动联通电信4G手机 双卡双待") == ["phone", "xs", "a21", "256gb", "深", "灰色", "移动", "联通", "电信", "4g", "手机", "双卡双待"]
-    assert writers.dimension_columns({"sink_columns": "a,b", "sink_pk": None}) == (["id", "a", "b"], "id")

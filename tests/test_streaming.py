@@ -86,18 +86,27 @@ T0 = datetime(2024, 1, 1, 10, tzinfo=timezone.utc)
 def test_log_job_repairs_before_it_splits(spark, tmp_path):
     later = T0 + timedelta(days=2)
     first = [record("m1", T0, displays=[{"x": "1"}, {"x": 2}]), record("m2", T0, is_new="0"), "broken", "[1]"]
-    second = [record("m1", later, actions=[{"a": 1}], err={"e": 1}), record("m2", later, is_new="1", start={"s": 1}), {"common": {"mid": "m3"}, "page": {"page_id": "timeless"}}]
-    source = write_values(tmp_path / "in", first, second)
-    for q in jobs.log_job(file_values(spark, source), str(tmp_path / "out"), str(tmp_path / "c")):
-        q.awaitTermination(120)
-    read = lambda kind, name: [json.loads(r["value"]) if name != "dirty_data" else r["value"] for r in spark.read.parquet(str(tmp_path / "out" / kind / name)).collect()]
-    assert sorted(read("other", "dirty_data")) == ["[1]", "broken"] and [r["page"]["page_id"] for r in read("other", "page")] == ["timeless"]
-    pages = {(r["common"]["mid"], r["ts"]): r for r in read("logs", "page")}
-    assert len(pages) == 3
+    second = [record("m1", later, actions=[{"a": 1}], err={"e": 1}), record("m2", later, is_new="1", start={"s": 1}), {"common": {"mid": "m3"}, "page": {"page_id": "timeless"}}, {"common": {"is_new": "1"}, "ts": 5, "tab": "a\tb"}, {"page": {}}]
+    source = write_values(tmp_path / "in", first)
+
+    def go():
+        query = jobs.log_job(file_values(spark, source), str(tmp_path / "out"), str(tmp_path / "c"))
+        query.awaitTermination(120)
+        return query
+
+    go()
+    write_values(tmp_path / "more", second)
+    (tmp_path / "more" / "0.txt").rename(tmp_path / "in" / "1.txt")
+    query = go()  # restarted: m1's first day comes from the checkpoint
+    assert len(query.recentProgress) == 1 and query.recentProgress[0]["numInputRows"] == 5  # the source is read once
+    read = lambda name: [json.loads(r["value"]) if name != "dirty_data" else r["value"] for r in spark.read.parquet(str(tmp_path / "out")).where(F.col("tag") == name).collect()]
+    assert sorted(read("dirty_data")) == ["[1]", "broken"]
+    pages = {(r["common"].get("mid"), r.get("ts")): r for r in read("page") if "common" in r}
+    assert len(pages) == 5 and pages["m3", None]["page"]["page_id"] == "timeless" and pages[None, 5] == {"common": {"is_new": "1"}, "ts": 5, "tab": "a\tb"} and {"page": {}} in read("page")
     one, two = pages["m1", int(T0.timestamp() * 1000)], pages["m1", int(later.timestamp() * 1000)]
     assert one["common"]["is_new"] == "1" and two["common"]["is_new"] == "0" and one["common"]["os"] == {"name": "x"} and one["page"]["more"] == [1] and "displays" not in one and "err" not in two
-    assert read("logs", "start") == [{"s": 1}] and read("logs", "err") == [{"e": 1}]
-    assert sorted(r["display"]["x"] if isinstance(r["display"]["x"], int) else int(r["display"]["x"]) for r in read("logs", "display")) == [1, 2] and read("logs", "action")[0]["common"]["is_new"] == "0"
+    assert read("start") == [{"s": 1}] and read("err") == [{"e": 1}]
+    assert sorted(int(r["display"]["x"]) for r in read("display")) == [1, 2] and read("action")[0]["common"]["is_new"] == "0"
 
 
 END = [record("m9", T0 + timedelta(days=400)), record("m9", T0 + timedelta(days=400), page="list")]

@@ -76,7 +76,12 @@ def on_day(df: DataFrame, column: str, day: int) -> DataFrame:
 def parsed(values: DataFrame) -> DataFrame:
     """``value`` and ``log``, the JSON object it holds as a variant, with all its fields; null where it holds none."""
     log = F.try_parse_json(F.col("value"))
-    return values.withColumn("log", log).withColumn("log", F.when(F.schema_of_variant("log").startswith("OBJECT"), F.col("log")))
+    return values.withColumn("log", log).withColumn("log", F.when(fields("log").isNotNull(), F.col("log")))
+
+
+def fields(log: str = "log") -> Column:
+    """The fields of a variant that is an object; null for any other."""
+    return F.try_variant_get(log, "$", "map<string,variant>")
 
 
 def dirty_split(values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,32 +98,61 @@ def field(path: str, kind: str = "variant", log: str = "log") -> Column:
 
 def with_is_new(log: Column, flag: Column) -> Column:
     """The record's JSON text with another ``common.is_new`` and all else as it is."""
+    common = F.parse_json(common_with(F.try_variant_get(log, "$.common", "variant"), flag))
+    return F.to_json(F.transform_values(log.cast("map<string,variant>"), lambda k, x: F.when(k == "common", common).otherwise(x)))
+
+
+def common_with(common: Column, flag: Column) -> Column:
+    """The JSON text of a record's ``common``, a variant, with another ``is_new``."""
     new = F.parse_json(F.to_json(F.named_struct(F.lit("x"), flag)))
-    common = F.transform_values(F.try_variant_get(log, "$.common", "map<string,variant>"), lambda k, x: F.when(k == "is_new", F.variant_get(new, "$.x", "variant")).otherwise(x))
-    return F.to_json(F.transform_values(log.cast("map<string,variant>"), lambda k, x: F.when(k == "common", F.to_variant_object(common)).otherwise(x)))
+    return F.to_json(F.transform_values(F.try_variant_get(common, "$", "map<string,variant>"), lambda k, x: F.when(k == "is_new", F.variant_get(new, "$.x", "variant")).otherwise(x)))
 
 
-def log_split(logs: DataFrame) -> dict[str, DataFrame]:
-    """The five outputs of :func:`parsed` log records, as JSON ``value``: err, start, display, action, page.
+LOG_TABLES = ("err", "start", "display", "action", "page")
+
+
+#: What a log record gives, all of it with the record's ``common`` left out, which may still change.
+PARTS = "array<struct<tag: string, rest: string>>"
+
+
+def with_parts(logs: DataFrame) -> DataFrame:
+    """Adds to :func:`parsed` log records ``common``, its JSON text, and ``parts``: what each gives, without ``common``; null for no record.
 
     An error goes out alone and leaves the record. A record with a start gives that alone. Any other gives a row for each
     display (common, page, ts, display) and each action (common, page, action) and the page record without these lists.
     Fields of any name go on as they are.
     """
-    body = lambda **c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items()))).alias("value")
-    logs = logs.where("log is not null")
-    pages = logs.where(field("start").isNull())
-    common, page, ts = field("common"), field("page"), field("ts")
-    each = lambda name: pages.select(common.alias("common"), page.alias("page"), ts.alias("ts"), F.explode(field(name, "array<variant>")).alias("one"))
-    filled = lambda name: F.coalesce(F.size(field(name, "array<variant>")) > 0, F.lit(False))
-    rest = F.map_filter(F.col("log").cast("map<string,variant>"), lambda k, _: (k != "err") & ~((k == "displays") & filled("displays")) & ~((k == "actions") & filled("actions")))
-    return {
-        "err": logs.where(field("err").isNotNull()).select(F.to_json(field("err")).alias("value")),
-        "start": logs.where(field("start").isNotNull()).select(F.to_json(field("start")).alias("value")),
-        "display": each("displays").select(body(common=F.col("common"), page=F.col("page"), ts=F.col("ts"), display=F.col("one"))),
-        "action": each("actions").select(body(common=F.col("common"), page=F.col("page"), action=F.col("one"))),
-        "page": pages.select(F.to_json(rest).alias("value")),
-    }
+    known = lambda x: F.when(~F.is_variant_null(x), x)
+    read = logs.withColumn("__f", fields())
+    read = read.withColumns({**{f"__{n}": known(F.col("__f")[n]) for n in ("err", "start", "common", "page", "ts")}, **{f"__{n}": F.try_variant_get(F.col("__f")[n], "$", "array<variant>") for n in ("displays", "actions")}})
+    row = lambda tag, value: F.struct(F.lit(tag).alias("tag"), F.to_json(value).alias("rest"))
+    none = F.array().cast(PARTS)
+    body = lambda one, name, *more: F.struct(*(F.col(f"__{c}").alias(c) for c in more), one.alias(name))
+    lists = lambda column, name, *more: F.coalesce(F.transform(column, lambda one: row(name, body(one, name, *more))), none)
+    filled = lambda name: F.coalesce(F.size(f"__{name}") > 0, F.lit(False))
+    rest = F.map_filter("__f", lambda k, x: ~k.isin("err", "common") & ~((k == "displays") & filled("displays")) & ~((k == "actions") & filled("actions")))
+    whole = F.concat(lists("__displays", "display", "page", "ts"), lists("__actions", "action", "page"), F.array(row("page", rest)))
+    parts = F.concat(F.when(F.col("__err").isNotNull(), F.array(row("err", F.col("__err")))).otherwise(none), F.when(F.col("__start").isNotNull(), F.array(row("start", F.col("__start")))).otherwise(whole))
+    return read.select(*logs.columns, F.to_json("__common").alias("common"), F.when(F.col("__f").isNotNull(), parts).alias("parts"))
+
+
+def put_together(rows: DataFrame) -> DataFrame:
+    """``tag, value``: a row for each of ``parts``, with ``common`` put back where it belongs."""
+    each = rows.select("common", F.explode("parts").alias("p")).select("common", "p.tag", "p.rest")
+    bare = F.col("tag").isin("err", "start") | F.col("common").isNull()
+    more = F.when(F.col("rest") == "{}", "}").otherwise(F.concat(F.lit(","), F.substring("rest", 2, 1 << 30)))
+    return each.select("tag", F.when(bare, F.col("rest")).otherwise(F.concat(F.lit('{"common":'), F.col("common"), more)).alias("value"))
+
+
+def tagged_split(logs: DataFrame) -> DataFrame:
+    """``tag, value`` of :func:`parsed` log records: all rows of :data:`LOG_TABLES` (see :func:`with_parts`), in one pass."""
+    return put_together(with_parts(logs.where("log is not null")))
+
+
+def log_split(logs: DataFrame) -> dict[str, DataFrame]:
+    """The rows of :func:`tagged_split` as five tables of ``value``."""
+    split = tagged_split(logs)
+    return {tag: split.where(F.col("tag") == tag).select("value") for tag in LOG_TABLES}
 
 
 def as_map(*columns: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sinks.writers import latest
+from ..sinks.store import latest
 from .etl import listed_entries
 
 
@@ -17,12 +17,12 @@ def current_config(changes: DataFrame, sink_type: str, key: tuple[str, ...]) ->
 
 
 def route_dimensions(changes: DataFrame, config: DataFrame, drop_deletes: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Records of the tables that the configuration names: ``sink_table, type, data`` with the listed columns alone, and the columns ``keep``.
+    """Records of the tables that the configuration names: ``sink_table, type, data`` with the listed columns alone, and the columns ``keep`` of either.
 
     The configuration has a row for each routed table, so it is small; Spark broadcasts it below its own threshold.
     """
     rows = changes.where("type <> 'delete'") if drop_deletes else changes
-    joined = rows.join(config.select("source_table", "sink_table", "sink_columns"), F.col("table") == F.col("source_table"))
+    joined = rows.join(config.select("source_table", "sink_table", "sink_columns", *(c for c in keep if c not in changes.columns)), F.col("table") == F.col("source_table"))
     return joined.select("sink_table", "type", listed_entries(F.col("data"), F.col("sink_columns")).alias("data"), *keep)
 
 

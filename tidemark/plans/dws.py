@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,13 @@ def order_amounts(details: DataFrame) -> DataFrame:
     return details.withColumns({n: amount_or_zero(F.col(c)) for n, c in AMOUNTS.items()})
 
 
-def sku_order(amounts: DataFrame, dims: dict[str, DataFrame], time: str = "row_time") -> DataFrame:
-    """Amounts by product: summed first, so that dimensions are joined to a row for each window and product."""
-    sums = tumble(amounts, time, ["sku_id"], **{n: F.sum(n) for n in AMOUNTS})
+def sku_sums(amounts: DataFrame, time: str = "row_time") -> DataFrame:
+    """Amounts by product."""
+    return tumble(amounts, time, ["sku_id"], **{n: F.sum(n) for n in AMOUNTS})
+
+
+def sku_named(sums: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
+    """The sink's columns of :func:`sku_sums`: six dimensions are joined to a row for each window and product."""
     wide = snowflake(
         sums,
         [
@@ -63,8 +69,26 @@ def sku_order(amounts: DataFrame, dims: dict[str, DataFrame], time: str = "row_t
     return _stamped(wide).select("stt", "edt", *names, *AMOUNTS, "ts")
 
 
-def province_order(amounts: DataFrame, provinces: DataFrame, time: str = "row_time") -> DataFrame:
-    # A stream cannot count distinct values; a table can, in two aggregations, without a window's orders in one buffer.
-    orders = F.size(F.collect_set("order_id")).cast("long") if amounts.isStreaming else F.count_distinct("order_id")
-    sums = tumble(amounts, time, ["province_id"], order_count=orders, order_amount=F.sum("order_amount"))
+def sku_order(amounts: DataFrame, dims: Mapping[str, DataFrame], time: str = "row_time") -> DataFrame:
+    """Amounts by product with its names."""
+    return sku_named(sku_sums(amounts, time), dims)
+
+
+def province_sums(amounts: DataFrame, time: str = "row_time") -> DataFrame:
+    """Amounts and different orders by province.
+
+    Orders are summed first, each in a group of its own, and their groups are counted then: a stream can do so, too, and
+    no window's orders come together in one buffer, however many a province has.
+    """
+    orders = amounts.groupBy(F.window(time, "10 seconds").alias("__o"), "province_id", "order_id").agg(F.sum("order_amount").alias("order_amount"))
+    return tumble(orders.withColumn("__t", F.window_time("__o")), "__t", ["province_id"], order_count=F.count("order_id"), order_amount=F.sum("order_amount"))
+
+
+def province_named(sums: DataFrame, provinces: DataFrame) -> DataFrame:
+    """The sink's columns of :func:`province_sums`."""
     return _stamped(dim_join(sums, provinces, "province_id", "id", {"name": "province_name"})).select("stt", "edt", "province_id", "province_name", "order_count", "order_amount", "ts")
+
+
+def province_order(amounts: DataFrame, provinces: DataFrame, time: str = "row_time") -> DataFrame:
+    """Amounts and orders by province with its name."""
+    return province_named(province_sums(amounts, time), provinces)

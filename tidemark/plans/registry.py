@@ -122,17 +122,17 @@ def _log_values(t) -> DataFrame:
 
 
 @query("""
-select 'err' as tag, count(*) as n from events where event_type = 'error' union all
-select 'start', count(*) from events where event_type = 'signup' union all
-select 'display', 2 * count(*) from events where event_type = 'view' union all
-select 'action', count(*) from events where event_type = 'click' union all
-select 'page', count(*) from events where event_type <> 'signup'""")
+with c as (
+  select *, '{"ar":"' || event_type || '","ch":"' || event_type || '","is_new":"' || event_type || '","mid":"' || user_id || '","uid":"' || user_id || '","vc":"' || event_type || '"}' as common,
+    '{"page_id":"' || event_type || '"}' as page, '{"event_id":"' || event_id || '"}' as one, '{"user_id":"' || user_id || '"}' as two, epoch_us(ts) // 1000 as ms from events)
+select 'err' as tag, '{"id":"' || event_id || '"}' as value from c where event_type = 'error' union all
+select 'start', '{"id":"' || event_id || '"}' from c where event_type = 'signup' union all
+select 'display', '{"common":' || common || ',"page":' || page || ',"ts":' || ms || ',"display":' || one || '}' from c where event_type = 'view' union all
+select 'display', '{"common":' || common || ',"page":' || page || ',"ts":' || ms || ',"display":' || two || '}' from c where event_type = 'view' union all
+select 'action', '{"common":' || common || ',"page":' || page || ',"action":' || one || '}' from c where event_type = 'click' union all
+select 'page', '{"common":' || common || ',"page":' || page || ',"ts":' || ms || '}' from c where event_type <> 'signup'""")
 def five_way_split(t):
-    parts = [rows.select(F.lit(name).alias("tag")) for name, rows in etl.log_split(etl.parsed(_log_values(t))).items()]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.groupBy("tag").agg(F.count("*").alias("n"))
+    return etl.tagged_split(etl.parsed(_log_values(t)))
 
 
 @query("""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..names import plain_name
+from .store import KeyedStore
+
 
 def kafka_values(df: DataFrame, topic: str | None = None, key: str | None = None) -> DataFrame:
     """``topic, key, value`` rows for the Kafka writer; without a topic each row's ``sink_table`` names it and is left out of the value."""
@@ -33,44 +34,14 @@ def once_per_batch(path: str):
     return write
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``."""
-    ranked = Window.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in order))
-    return df.withColumn("__n", F.row_number().over(ranked)).where("__n = 1").drop("__n")
-
-
 def upsert(path: str, keys: list[str], order: list[str], every: int = 16):
-    """A ``foreachBatch`` function that keeps the last row of each key.
-
-    A batch is cut down to a row for each key, the last by ``order``, and written to a folder of its own; a replayed
-    batch replaces its folder. Every ``every`` batches what :func:`upserted` gives so far is written as one merged
-    folder, so that reads never go back further than that.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        latest(batch, keys, order).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/kind=batch/at={batch_id}")
-        if batch_id and batch_id % every == 0:
-            _kept(batch.sparkSession, path, keys, batch_id).write.mode("overwrite").parquet(f"{path}/kind=merged/at={batch_id}")
-
-    return write
-
-
-def _kept(spark, path: str, keys: list[str], newest: int | None = None) -> DataFrame:
-    """The last row of each key, with its ``batch_id``: of the last merged folder that a later batch shows to be whole, and of the batches after it."""
-    rows = spark.read.parquet(path)
-    folders = [(r["kind"], r["at"]) for r in rows.select("kind", "at").distinct().collect()]  # a row for each folder
-    newest = max(at for kind, at in folders if kind == "batch") if newest is None else newest
-    merged = max((at for kind, at in folders if kind == "merged" and at < newest), default=-1)
-    wanted = ((F.col("kind") == "merged") & (F.col("at") == merged)) | ((F.col("kind") == "batch") & (F.col("at") > merged) & (F.col("at") <= newest))
-    return latest(rows.where(wanted).drop("kind", "at"), keys, ["batch_id"])
-
-
-def upserted(spark, path: str, keys: list[str]) -> DataFrame:
-    """What :func:`upsert` has kept; later batches win."""
-    return _kept(spark, path, keys).drop("batch_id")
+    """A ``foreachBatch`` function that keeps the last row of each key; see :class:`tidemark.sinks.store.KeyedStore`."""
+    return KeyedStore(path, keys, order, every).write
 
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+def upserted(spark, path: str, keys: list[str]) -> DataFrame | None:
+    """What :func:`upsert` has kept; later batches win. None before the first batch."""
+    return KeyedStore(path, keys).read(spark)
 
 
 def dimension_columns(config: dict[str, str | None]) -> tuple[list[str], str]:
@@ -86,9 +57,8 @@ def ensure_dimension(spark, config: dict[str, str | None], database: str = "defa
     Names other than plain ones are refused. ``sink_extend`` holds options of another engine's tables and is not used.
     """
     columns, _ = dimension_columns(config)
-    for name in (database, config["sink_table"] or "", *columns):
-        if not _NAME.fullmatch(name):
-            raise ValueError(f"not a plain name: {name!r}")
+    for name in (database, config["sink_table"], *columns):
+        plain_name(name)
     table = f"`{database}`.`{config['sink_table']}`"
     spark.sql(f"create table if not exists {table} ({', '.join(f'`{c}` string' for c in columns)}) using parquet")
     return f"{database}.{config['sink_table']}"

@@ -66,6 +66,19 @@ class RepairIsNew(_ByTime):
         yield Row(**values)
 
 
+class RepairLogs(RepairIsNew):
+    """As :class:`RepairIsNew`; rows without a time pass as they are and leave no trace."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        timed = []
+        for row in rows:
+            if row["row_time"] is None:
+                yield row
+            else:
+                timed.append(row)
+        yield from super().handleInputRows(key, timed, timerValues)
+
+
 class DailyVisitor(_ByTime):
     """Adds ``uv``: 1 for a device's first row of a day. State goes after a day."""
 
@@ -199,6 +212,11 @@ def repair_is_new(df: DataFrame, key: str = "mid") -> DataFrame:
     return apply(df, RepairIsNew(), key, df.schema)
 
 
+def repair_logs(df: DataFrame, key: str = "device") -> DataFrame:
+    """Rows in the order of their time within a batch; none is late, as the state is not bound to event time."""
+    return df.groupBy(key).transformWithState(statefulProcessor=RepairLogs(), outputStructType=df.schema, outputMode="append", timeMode="none")
+
+
 def daily_visitors(df: DataFrame, key: str = "mid") -> DataFrame:
     return apply(df, DailyVisitor(), key, _add(df.schema, "uv"))
 

@@ -59,8 +59,19 @@ def _amounts(values: DataFrame, delay: str) -> DataFrame:
 
 
 def sku_order(values: DataFrame, dims: dict[str, DataFrame], delay: str = "3 seconds") -> DataFrame:
+    """With dimensions as they are when the stream starts; :func:`sku_sums` and :func:`tidemark.streaming.jobs.with_lookups` follow their changes."""
     return dws.sku_order(_amounts(values, delay), dims)
 
 
+def sku_sums(values: DataFrame, delay: str = "3 seconds") -> DataFrame:
+    """:func:`sku_order` without the names, which ``dws.sku_named`` adds batch by batch."""
+    return dws.sku_sums(_amounts(values, delay))
+
+
 def province_order(values: DataFrame, provinces: DataFrame, delay: str = "3 seconds") -> DataFrame:
     return dws.province_order(_amounts(values, delay), provinces)
+
+
+def province_sums(values: DataFrame, delay: str = "3 seconds") -> DataFrame:
+    """:func:`province_order` without the name, which ``dws.province_named`` adds batch by batch."""
+    return dws.province_sums(_amounts(values, delay))
