@@ -1,26 +1,20 @@
-"""Keyword segmentation.
+"""Keyword segmentation: the words of search phrases as a column, rows, or a table function of SQL.
 
-Runs of Latin letters and digits become one lower-case word each; runs of CJK characters are cut by the longest entry of
-a dictionary, a small one of shop words unless another is given, else into single characters. It is a rule of its own, not a copy of any dictionary segmenter.
+Cutting is by :class:`tidemark.functions.segmenter.Segmenter` with a dictionary, the small one of the library unless
+another is given. Texts go through Arrow, a batch at a time; the dictionary is built once and sent to each executor.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+
+from .segmenter import Segmenter, default_words
 
 LATIN = r"[A-Za-z0-9]+"
-#: Common words of shop titles in Chinese, longest match first; callers add their own.
-SHOP_WORDS = frozenset(
-    "手机 电脑 平板 笔记本 耳机 电视 相机 冰箱 洗衣机 空调 键盘 鼠标 显示器 充电器 数据线 智能 移动 联通 电信 全网通 双卡双待 游戏 "
-    "小米 华为 苹果 联想 香水 口红 唇膏 面膜 护肤 洗发水 牙膏 纸巾 大米 牛奶 零食 饮料 图书 玩具 女装 男装 童装 衬衫 外套 裙子 裤子 鞋子 运动鞋 "
-    "红色 蓝色 绿色 黑色 白色 灰色 金色 银色 粉色 紫色 官方 旗舰店 正品 新款 套装 礼盒 家用 女士 男士 儿童".split()
-)
-_PARTS = re.compile(r"[A-Za-z0-9]+|[㐀-鿿]+")
 
 
 def latin_words(text: Column) -> Column:
@@ -28,28 +22,33 @@ def latin_words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LATIN), F.lit(0)), F.lower)
 
 
-def segment(text: str | None, dictionary: frozenset[str] = SHOP_WORDS) -> list[str]:
-    longest, words = max(map(len, dictionary), default=1), []
-    for part in _PARTS.findall(text or ""):
-        if part.isascii():
-            words.append(part.lower())
-            continue
-        at = 0
-        while at < len(part):
-            size = next((n for n in range(min(longest, len(part) - at), 1, -1) if part[at : at + n] in dictionary), 1)
-            words.append(part[at : at + size])
-            at += size
-    return words
+def _marked(words: Iterable[str | tuple[str, bool]]) -> list[tuple[str, bool]]:
+    return [(w, False) if isinstance(w, str) else w for w in words]
+
+
+def segment(text: str | None, dictionary: Iterable[str | tuple[str, bool]] | None = None) -> list[str]:
+    """The words of one text; a dictionary's words are texts, or pairs of a text and whether it is a measure word."""
+    return Segmenter(default_words() if dictionary is None else _marked(dictionary))(text)
+
+
+def segments(spark: SparkSession, dictionary: Iterable[str | tuple[str, bool]] | None = None):
+    """A function of columns: the words of each text as an array; none for null."""
+    shared = spark.sparkContext.broadcast(Segmenter(default_words() if dictionary is None else _marked(dictionary)))
+
+    def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cut = shared.value
+        for texts in batches:
+            yield pa.array([cut(text) for text in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(over, "array<string>")
 
 
-def register(spark: SparkSession, dictionary: Iterable[str] = SHOP_WORDS, name: str = "ik_analyze") -> None:
-    """Make ``name(text)`` a table function with a row for each ``word``, the words of ``dictionary`` whole."""
-    known = frozenset(dictionary)
+def keywords(df: DataFrame, text: str, name: str = "word", dictionary: Iterable[str | tuple[str, bool]] | None = None) -> DataFrame:
+    """A row for each word of each row's ``text``, with all its columns and the word as ``name``; on streams, too."""
+    return df.withColumn(name, F.explode(segments(df.sparkSession, dictionary)(F.col(text))))
 
-    @udtf(returnType="word: string")
-    class Words:
-        def eval(self, text: str):
-            for word in segment(text, known):
-                yield (word,)
 
-    spark.udtf.register(name, Words)
+def register(spark: SparkSession, dictionary: Iterable[str | tuple[str, bool]] | None = None, name: str = "ik_analyze") -> None:
+    """Make ``name(text)`` a table function with a row for each ``word``, and ``name_words(text)`` the array of them."""
+    spark.udf.register(f"{name}_words", segments(spark, dictionary))
+    spark.sql(f"create or replace temporary function {name}(text string) returns table (word string) return select explode({name}_words(text))")
