@@ -36,12 +36,26 @@ def _lines(changes: DataFrame) -> DataFrame:
     return _side(rows, "d", "id", "order_id", "sku_id", "sku_name", "create_time", "source_id", "source_type", "sku_num", *SPLITS, split_original_amount=amount(_d("sku_num"), _d("order_price")), ts=F.col("ts"))
 
 
+def _orders(changes: DataFrame) -> DataFrame:
+    return _side(etl.of_table(changes, "order_info", "insert"), "o", "id", "user_id", "province_id")
+
+
+def line_sides(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The activity and the coupon of order lines, ``a_order_detail_id`` and ``c_order_detail_id`` being the lines."""
+    activity = _side(etl.of_table(changes, "order_detail_activity", "insert"), "a", "order_detail_id", "activity_id", "activity_rule_id")
+    return activity, _side(etl.of_table(changes, "order_detail_coupon", "insert"), "c", "order_detail_id", "coupon_id")
+
+
+def ordered_lines(changes: DataFrame, orders: DataFrame | None = None, ttl: str | None = None) -> DataFrame:
+    """Order lines with their order."""
+    return detail_join(_lines(changes), _orders(changes) if orders is None else orders, F.col("d_order_id") == F.col("o_id"), "inner", ("d_time", "o_time") if ttl else None, ttl)
+
+
 def _wide(changes: DataFrame, orders: DataFrame, dic: DataFrame, ttl: str | None) -> DataFrame:
     """Order lines with their order, activity, coupon and the name of their source."""
-    activity = _side(etl.of_table(changes, "order_detail_activity", "insert"), "a", "order_detail_id", "activity_id", "activity_rule_id")
-    coupon = _side(etl.of_table(changes, "order_detail_coupon", "insert"), "c", "order_detail_id", "coupon_id")
+    activity, coupon = line_sides(changes)
     t = lambda other: ("d_time", other) if ttl else None
-    rows = detail_join(_lines(changes), orders, F.col("d_order_id") == F.col("o_id"), "inner", t("o_time"), ttl)
+    rows = ordered_lines(changes, orders, ttl)
     rows = detail_join(rows, activity, F.col("d_id") == F.col("a_order_detail_id"), "left", t("a_time"), ttl)
     rows = detail_join(rows, coupon, F.col("d_id") == F.col("c_order_detail_id"), "left", t("c_time"), ttl)
     return dictionary_join(rows, dic, "d_source_type", "source_type_name")
@@ -53,8 +67,13 @@ def _named(*names: str) -> list[Column]:
 
 
 def order_detail(changes: DataFrame, dic: DataFrame, ttl: str | None = None) -> DataFrame:
-    orders = _side(etl.of_table(changes, "order_info", "insert"), "o", "id", "user_id", "province_id")
-    return _wide(changes, orders, dic, ttl).select(
+    return order_columns(_wide(changes, _orders(changes), dic, ttl))
+
+
+def order_columns(rows: DataFrame, *more: str) -> DataFrame:
+    """The table's columns, and ``more`` before them, of order lines with all their sides and the name of their source."""
+    return rows.select(
+        *more,
         *_named("d_id", "d_order_id", "o_user_id", "d_sku_id", "d_sku_name", "o_province_id", "a_activity_id", "a_activity_rule_id", "c_coupon_id"),
         F.date_format("d_create_time", "yyyy-MM-dd").alias("date_id"), *_named("d_create_time", "d_source_id", "d_source_type"), "source_type_name",
         *_named("d_sku_num", "d_split_original_amount", *(f"d_{s}" for s in SPLITS), "d_ts"),

@@ -1,7 +1,6 @@
-"""Keyed state machines for ``transformWithState``, in event time but for the last.
+"""Keyed state machines: those by days in batches of keys (:mod:`.days`), and two for ``transformWithState`` row by row.
 
-Rows of a key are taken in the order of their time within a batch. State that is to go after a time is cleared by a
-timer.
+State that is to go after a time is cleared by a timer.
 """
 
 from __future__ import annotations
@@ -12,120 +11,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-_DAY = T.StructType([T.StructField("day", T.DateType())])
-
-
-class _ByTime(StatefulProcessor):
-    """Calls ``step(row)`` for each row in the order of ``row_time``; rows of one time stay in the order they came in."""
-
-    ttl_days: int | None = None
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.states = {n: handle.getValueState(n, _DAY) for n in self.names()}
-
-    def names(self) -> list[str]:
-        return ["day"]
-
-    def handleInputRows(self, key, rows, timerValues):
-        last = None
-        for row in sorted(rows, key=lambda r: r["row_time"]):
-            yield from self.step(row)
-            last = row["row_time"]
-        if self.ttl_days and last is not None:  # one timer for a key, moved on once a batch
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(int((last + timedelta(days=self.ttl_days)).timestamp() * 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        for state in self.states.values():
-            if state.exists():
-                state.clear()
-        return iter([])
-
-    def last(self, name: str = "day"):
-        state = self.states[name]
-        return state.get()[0] if state.exists() else None
-
-    def keep(self, day, name: str = "day") -> None:
-        self.states[name].update((day,))
-
-    def close(self) -> None:
-        pass
-
-
-class RepairIsNew(_ByTime):
-    """Later claims of a new device on another day than its first become 0."""
-
-    def step(self, row):
-        day, first, values = row["row_time"].date(), self.last(), row.asDict()
-        if first is None:
-            self.keep(day if row["is_new"] == "1" else day - timedelta(days=1))
-        elif row["is_new"] == "1" and first != day:
-            values["is_new"] = "0"
-        yield Row(**values)
-
-
-class RepairLogs(RepairIsNew):
-    """As :class:`RepairIsNew`; rows without a time pass as they are and leave no trace."""
-
-    def handleInputRows(self, key, rows, timerValues):
-        timed = []
-        for row in rows:
-            if row["row_time"] is None:
-                yield row
-            else:
-                timed.append(row)
-        yield from super().handleInputRows(key, timed, timerValues)
-
-
-class DailyVisitor(_ByTime):
-    """Adds ``uv``: 1 for a device's first row of a day. State goes after a day."""
-
-    ttl_days = 1
-
-    def step(self, row):
-        day = row["row_time"].date()
-        new = self.last() != day
-        if new:
-            self.keep(day)
-        yield Row(**row.asDict(), uv=int(new))
-
-
-class HomeDetailVisitor(_ByTime):
-    """``home_uv`` and ``detail_uv``, by two states; rows without either are not given."""
-
-    ttl_days = 1
-
-    def names(self) -> list[str]:
-        return ["home", "detail"]
-
-    def step(self, row):
-        name, day = ("home" if row["page_id"] == "home" else "detail"), row["row_time"].date()
-        if self.last(name) != day:
-            self.keep(day, name)
-            yield Row(row_time=row["row_time"], home_uv=int(name == "home"), detail_uv=int(name == "detail"))
-
-
-class DailyUser(_ByTime):
-    """A user's first row of a day; others are not given."""
-
-    def step(self, row):
-        day = row["row_time"].date()
-        if self.last() != day:
-            self.keep(day)
-            yield row
-
-
-class Login(_ByTime):
-    """``uu`` for a user's first login of a day, ``back`` for one eight days or more after the last."""
-
-    def step(self, row):
-        day, last = row["row_time"].date(), self.last()
-        if last == day:
-            return
-        self.keep(day)
-        yield Row(row_time=row["row_time"], uu=1, back=int(last is not None and (day - last).days >= 8))
+from . import days
 
 
 class Retract(StatefulProcessor):
@@ -209,28 +95,29 @@ def apply(df: DataFrame, processor: StatefulProcessor, key: str, schema: T.Struc
 
 
 def repair_is_new(df: DataFrame, key: str = "mid") -> DataFrame:
-    return apply(df, RepairIsNew(), key, df.schema)
+    return days.apply(df, days.RepairIsNew(key), df.schema)
 
 
 def repair_logs(df: DataFrame, key: str = "device") -> DataFrame:
-    """Rows in the order of their time within a batch; none is late, as the state is not bound to event time."""
-    return df.groupBy(key).transformWithState(statefulProcessor=RepairLogs(), outputStructType=df.schema, outputMode="append", timeMode="none")
+    """As :func:`repair_is_new`, but no row is late, as the state is not bound to event time; rows without a time pass as they are."""
+    return days.apply(df, days.RepairIsNew(key), df.schema, event_time=False)
 
 
 def daily_visitors(df: DataFrame, key: str = "mid") -> DataFrame:
-    return apply(df, DailyVisitor(), key, _add(df.schema, "uv"))
+    """Adds ``uv``; a key's state goes after a day."""
+    return days.apply(df, days.DailyVisitor(key, 1), _add(df.schema, "uv"))
 
 
 def home_detail_visitors(df: DataFrame, key: str = "mid") -> DataFrame:
-    return apply(df, HomeDetailVisitor(), key, _add(_METRIC, "home_uv", "detail_uv"))
+    return days.apply(df, days.HomeDetailVisitor(key, 1), _add(_METRIC, "home_uv", "detail_uv"))
 
 
 def daily_users(df: DataFrame, key: str = "user_id") -> DataFrame:
-    return apply(df, DailyUser(), key, df.schema)
+    return days.apply(df, days.DailyUser(key), df.schema)
 
 
 def login_metrics(df: DataFrame, key: str = "user_id") -> DataFrame:
-    return apply(df, Login(), key, _add(_METRIC, "uu", "back"))
+    return days.apply(df, days.Login(key), _add(_METRIC, "uu", "back"))
 
 
 def retracted(df: DataFrame, amounts: list[str], key: str = "id") -> DataFrame:
