@@ -122,3 +122,12 @@ def test_dimension_tables_on_demand(spark):
     for bad in ({"sink_table": "x; drop table y", "sink_columns": "a"}, {"sink_table": "x", "sink_columns": "a` int, `b"}):
         with pytest.raises(ValueError, match="plain name"):
             writers.ensure_dimension(spark, bad)
+
+
+def test_log_split_parses_each_value_once(spark):
+    """Nothing that was parsed is named in a filter below, where Spark would parse it anew; values that hold no object go."""
+    values = spark.createDataFrame([('{"page":{"a":1},"ts":2}',), ("no object",), ("[1]",), (None,)], "value string").repartition(1)
+    split = etl.tagged_split(etl.parsed(values))
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert [tuple(r) for r in split.collect()] == [("page", '{"page":{"a":1},"ts":2}')]

@@ -137,8 +137,12 @@ def with_parts(logs: DataFrame) -> DataFrame:
 
 
 def put_together(rows: DataFrame) -> DataFrame:
-    """``tag, value``: a row for each of ``parts``, with ``common`` put back where it belongs."""
-    each = rows.select("common", F.explode("parts").alias("p")).select("common", "p.tag", "p.rest")
+    """``tag, value``: a row for each of ``parts``, with ``common`` put back where it belongs; none without parts.
+
+    Rows without parts go only after the lists are taken apart: a filter on what was parsed would be moved down to the
+    scan, and parse each value anew for each time it names it.
+    """
+    each = rows.select("common", F.explode_outer("parts").alias("p")).where("p is not null").select("common", "p.tag", "p.rest")
     bare = F.col("tag").isin("err", "start") | F.col("common").isNull()
     more = F.when(F.col("rest") == "{}", "}").otherwise(F.concat(F.lit(","), F.substring("rest", 2, 1 << 30)))
     return each.select("tag", F.when(bare, F.col("rest")).otherwise(F.concat(F.lit('{"common":'), F.col("common"), more)).alias("value"))
@@ -146,7 +150,7 @@ def put_together(rows: DataFrame) -> DataFrame:
 
 def tagged_split(logs: DataFrame) -> DataFrame:
     """``tag, value`` of :func:`parsed` log records: all rows of :data:`LOG_TABLES` (see :func:`with_parts`), in one pass."""
-    return put_together(with_parts(logs.where("log is not null")))
+    return put_together(with_parts(logs))
 
 
 def log_split(logs: DataFrame) -> dict[str, DataFrame]:
