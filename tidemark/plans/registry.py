@@ -577,10 +577,11 @@ select {_LINE_ID} as order_detail_id, cast(l_orderkey as varchar) as order_id, c
   {_DETAIL_SPLITS.format(total='split_payment_amount')}, cast(cast(paid_at as bigint) as varchar) as ts
 from {_LINES} join pays on p_order = l_orderkey and epoch(l_shipdate) >= paid_at - 900 and epoch(l_shipdate) <= paid_at + 5 join nation k on k.n_nationkey = kind""")
 def dwd_pay_detail_suc(t):
-    details = dwd.order_detail(_shop_changes(t), _dic(t)).withColumn("row_time", F.to_timestamp("create_time"))
     at = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.when(F.col("l_partkey") % 3 == 0, 600).when(F.col("l_partkey") % 3 == 1, -4).otherwise(1000)
     paid = _change(t.lineitem.where("l_linenumber = 1"), "payment_info", "insert", {"user_id": "l_suppkey", "order_id": "l_orderkey", "payment_type": F.col("l_partkey") % 30, "callback_time": F.lit("then")}, ts=at)
-    return dwd.pay_detail(with_event_time(paid), details, _dic(t))
+    changes, paid = _shop_changes(t), with_event_time(paid)
+    details = dwd.order_detail(changes, _dic(t), lines=dwd.paid_lines(changes, paid)).withColumn("row_time", F.to_timestamp("create_time"))
+    return dwd.pay_detail(paid, details, _dic(t))
 
 
 _AMOUNTS = ", ".join(f"cast(sum(cast({e} as decimal(16,4))) as double) as {n}" for n, e in {"original_amount": "cast(l_quantity as integer) * cast(l_extendedprice as decimal(16,2))", "activity_amount": "cast(l_discount as decimal(16,2))", "coupon_amount": "cast(l_tax as decimal(16,2))", "order_amount": "cast(l_extendedprice as decimal(16,2))"}.items())
