@@ -605,6 +605,6 @@ def dws_sku_order(t):
         "base_category2": text_of(t.region, id="r_regionkey", name="r_name", category1_id=F.col("r_regionkey") % 3),
         "base_category1": text_of(t.region, id="r_regionkey", name="r_name"),
     }
-    details = dwd.order_detail(_shop_changes(t), _dic(t)).withColumn("row_time", F.to_timestamp("create_time"))
+    details = dwd.order_lines(_shop_changes(t), _dic(t)).withColumn("row_time", F.to_timestamp("create_time"))
     rows = dws.sku_order(dws.order_amounts(details), dims).drop("ts")
     return rows.withColumns({n: F.col(n).cast("double") for n in dws.AMOUNTS})
