@@ -56,3 +56,16 @@ def test_passes_grow_with_the_label(spark):
     df = spark.createDataFrame([(i, v.tolist(), i % 300 % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     rows = lambda out: sorted(map(tuple, out.collect()))
     assert rows(embeddings.near_duplicates(df, whole=0)) == rows(embeddings.near_duplicates(df))
+
+
+def test_no_size_ends_the_exact_check(spark):
+    """20 pairs in a tight crowd of 66,000, of which a round finds so few that rounds would end: none may be lost."""
+    rng = np.random.default_rng(12)
+    x = (np.ones(48) + 0.1 * rng.standard_normal((66_000, 48))).astype(np.float32)
+    x[20:40] = x[:20] + 0.033 * rng.standard_normal((20, 48)).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {i: int((unit @ unit[i] >= 0.99897).sum()) - 1 for i in range(40)}
+    assert sum(want.values()) > 30
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicates(df, threshold=0.99897).where("vec_id < 40")
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == want

@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes, and an exact check of labels that are not too large."""
+"""Near-duplicate vectors by sorted projection passes, and an exact check of all that they may have missed."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from .components import connected_components
 
 BITS = 60
 TILE = 2_048
+#: Rows of the largest tile: a pair of them is what a task holds at a time, whatever the size of the label.
+_MOST = 16_384
 #: Rows of a tile that are held against the other tile at a time.
 _STRIP = 512
 MISS = 1e-4
@@ -88,6 +90,22 @@ def _neighbours(window: int, threshold: float, kind):
     return run
 
 
+def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``root``, which gives each place the smallest one it is joined with, after the links ``u, v`` are added."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            least = root[root]
+            if (least == root).all():
+                break
+            root = least
+
+
 def _tile_edges(threshold: float, kind):
     """Links that join the vectors of two tiles of one label: each one's link to the smallest it reaches in these tiles."""
 
@@ -96,18 +114,12 @@ def _tile_edges(threshold: float, kind):
         a, b = rows[rows["tile"] == lo], rows[rows["tile"] == hi]
         if not len(a) or not len(b):
             return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
-        i, j = np.nonzero(_unit(list(a["vector"]), kind) @ _unit(list(b["vector"]), kind).T >= threshold)
-        ids = np.concatenate([a["cid"].to_numpy(), b["cid"].to_numpy()])
-        names, place = np.unique(ids, return_inverse=True)
-        u, v, root = place[i], place[len(a) + j], np.arange(len(names))
-        while True:
-            least = root.copy()
-            np.minimum.at(least, u, root[v])
-            np.minimum.at(least, v, root[u])
-            least = least[least]
-            if (least == root).all():
-                break
-            root = least
+        left, right = _unit(list(a["vector"]), kind), _unit(list(b["vector"]), kind)
+        names, place = np.unique(np.concatenate([a["cid"].to_numpy(), b["cid"].to_numpy()]), return_inverse=True)
+        root = np.arange(len(names))
+        for at in range(0, len(a), _STRIP):  # a strip of the matrix at a time, however large the tile
+            i, j = np.nonzero(left[at : at + _STRIP] @ right.T >= threshold)
+            root = _join(root, place[at + i], place[len(a) + j])
         moved = np.flatnonzero(root != np.arange(len(names)))
         return pd.DataFrame({"u": names[moved], "v": names[root[moved]]})
 
@@ -137,19 +149,25 @@ def _tile_links(threshold: float, kind):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 24, window: int = 16, whole: int = 65_536) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 24, window: int = 16, whole: int | None = None) -> DataFrame:
     """One row for each vector: ``vec_id, n_links, component_id, kept``.
 
     Vectors are compared only within one label. Equal vectors are one class from the start. A link is what reaches
     ``threshold`` by cosine in double precision. Classes are sorted in ``passes`` or more passes by label and by 60
     concatenated random sign hashes, range-partitioned, and each is held against the next ``window`` rows; the passes
     grow with the label (see :func:`_passes`). Rows at the edge of a range partition meet in other passes. All links are
-    joined to components. Then what the passes may have missed is looked for: labels of up to ``whole`` classes are
-    compared whole, in pairs of tiles of some ``TILE``; larger ones are sorted in further rounds by new hashes, each of
-    twice the passes of the one before, rows joined already left out, till a round joins no more than ``MISS`` of the
-    classes. So a crowded neighbourhood, in which a pass finds fewer of the links, gets more passes by itself. A window is bounded, so a component's links are counted whole at
-    last: its m classes are dealt over sqrt(m) / 2 tiles, each pair of tiles is one group's matrix product that gives
-    only sums, and the pairs are dealt over all tasks. That is m^2 work and m^1.5 / 2 rows shuffled for a component.
+    joined to components. Then what the passes may have missed is looked for in every label, however large: its n
+    classes are dealt over n / max(2,048, 8 sqrt(n)) tiles of at most some 16,384 rows and compared whole, in pairs of
+    tiles, each pair one group's matrix product, a strip at a time. So the links found do not depend on a label's size.
+    That is n^2 work; a task holds two tiles.
+
+    A caller who can do with the passes alone names in ``whole`` the classes of the largest label to compare whole:
+    larger ones are sorted in further rounds by new hashes, each of twice the passes of the one before, rows joined
+    already left out, till a round joins no more than ``MISS`` of the classes.
+
+    A window is bounded, so a component's links are counted whole at last: its m classes are dealt over sqrt(m) / 2
+    tiles, each pair of tiles is one group's matrix product that gives only sums, and the pairs are dealt over all
+    tasks. That is m^2 work and m^1.5 / 2 rows shuffled for a component.
 
     Null, empty and zero vectors, vectors with null or non-finite components and vectors without a label link with
     nothing: n_links 0, their own component. Rows without an id come back with no component and link with nothing.
@@ -175,7 +193,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 2
     classes = classes.withColumn("node", F.xxhash64("d1", "d2"))
     labels = cut(classes.groupBy("label", "dim").agg(F.count("*").alias("rows")))
     sized = classes.select("label", "dim", F.col("node").alias("cid"), "vector").join(labels, ["label", "dim"])
-    tiled = sized.where(F.col("rows") <= whole).withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int"))
+    exact = F.lit(True) if whole is None else F.col("rows") <= whole
+    tiled = sized.where(exact).withColumn("tiles", F.ceil(F.col("rows") / F.least(F.greatest(F.lit(TILE), 8 * F.sqrt("rows")), F.lit(_MOST))).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("cid", F.lit("label")), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "label", "dim", "cid", "vector", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")
@@ -184,7 +203,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 2
     edges = tiled.repartition("label", "dim", "lo", "hi").groupBy("label", "dim", "lo", "hi").applyInPandas(_tile_edges(threshold, kind), _EDGES)
     counts = F.udf(lambda n: _passes(n, threshold, passes, window), "int")
     planned = cut(labels.select("label", "dim", "rows", counts("rows").alias("passes")))
-    large = planned.where(F.col("rows") > whole)
+    large = planned.where(~exact)
 
     def links(some: DataFrame, round_no: int, known: DataFrame | None) -> DataFrame:
         """The new links of one round over the labels ``some``."""
@@ -195,7 +214,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 2
         return hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_neighbours(window, threshold, kind), _EDGES)
 
     found = cut(connected_components(edges.unionByName(links(planned, 0, None))))
-    crowd, round_no = large.agg(F.sum("rows")).first()[0] or 0, 0
+    crowd, round_no = 0 if whole is None else large.agg(F.sum("rows")).first()[0] or 0, 0
     while crowd:
         round_no += 1
         new = cut(links(large, round_no, found))
