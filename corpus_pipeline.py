@@ -32,6 +32,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingle sets linked from a Jaccard similarity of 0.8 on.
 
+    Texts meet by SimHash fingerprints in balls of two bits, and, where these do not reach, by minima of their shingles;
+    the exact similarity decides.
+
     That with the smallest id stays, and all rows of that id. Rows without an id stay. Null and empty texts are copies
     of each other. Columns of any name go on as they are. No rows give no rows.
     """

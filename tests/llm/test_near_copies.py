@@ -84,3 +84,16 @@ def test_links_are_exact_at_the_threshold(spark):
     want = wanted(rows)
     assert [sum(want[i] != i for i in range(k, k + 120)) for k in (0, 120, 240)] == [60, 0, 0]
     assert linked(spark, rows) == want
+
+
+def test_fingerprint_balls_alone(spark):
+    """Without any band of minima, long texts with one word changed at the end meet by their fingerprints; others do not."""
+    rng, rows = random.Random(4), []
+    for k in range(40):
+        one = fresh(1_500, rng)
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(one[:-1] + fresh(1, rng)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked_by_op8 = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    alone = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, bands=0).collect()}
+    assert alone == linked_by_op8 and sum(c != i for i, c in alone.items()) > 20
+    assert linked(spark, rows) == wanted(rows)

@@ -146,25 +146,34 @@ def _tile_links(similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def ball_buckets(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """``(node, key)`` for each ``(node, fp)`` whose fingerprint others share or reach by links of :func:`ball_links`: one key for all that are linked."""
+    found = cut(connected_components(ball_links(prints.select("fp").distinct(), radius))).withColumnRenamed("node", "fp")
+    return prints.join(found, "fp", "left").select("node", F.xxhash64(F.lit("ball"), F.coalesce("component", "fp")).alias("key")).distinct()
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, radius: int = 2, bands: int = BANDS) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, component_id``, linked from a Jaccard similarity of ``similarity`` of shingles on.
 
-    Near copies of that similarity differ in about a seventh of a SimHash fingerprint's bits, more than a ball can
-    hold at any size. So the sets of shingles meet in bands of minima (see ``BANDS``), and each link is decided by the
-    exact similarity of the two sets. Equal sets are one class. In each bucket all are held against its smallest node,
-    and the links are joined to components. Buckets that still hold more than one component are then compared whole:
+    Texts meet by their SimHash fingerprints, by ball hashing as in :func:`near_duplicates`: all that are linked within
+    ``radius`` bits are one bucket. Near copies at ``similarity`` itself may differ in a seventh of the bits, more than a
+    ball can hold at any size; for these the sets of shingles also meet in bands of minima (see ``BANDS``). Each link is
+    decided by the exact similarity of the two sets. Equal sets are one class. In each bucket all are held against its
+    smallest node, and the links are joined to components. Buckets that still hold more than one component are then compared whole:
     n classes are dealt over sqrt(n) / 8 tiles, and each pair of tiles is one task's work that skips what is joined.
     Texts without a word are one group; texts of up to ``width`` words link only if their words are equal. Nulls, ties
     and repeats are as for :func:`near_duplicates`.
     """
     packed = F.pandas_udf(lambda s: pd.Series([_shingles(x, width, seed).tobytes() for x in s], dtype="object"), "binary")
-    banded = F.pandas_udf(lambda s: pd.Series([_bands(np.frombuffer(x, dtype=np.uint64)) for x in s], dtype="object"), "array<bigint>")
+    banded = F.pandas_udf(lambda s: pd.Series([_bands(np.frombuffer(x, dtype=np.uint64))[:bands] for x in s], dtype="object"), "array<bigint>")
     alike = F.pandas_udf(
         lambda a, b: pd.Series([_jaccard(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(a, b)], dtype="float64"), "double"
     )
-    prints = cut(docs.select("doc_id", packed(F.col("text").cast("binary")).alias("shingles")).withColumn("node", F.xxhash64("shingles")).withColumn("keys", banded("shingles")))
+    marked = fingerprints(docs.select("doc_id", "text"), seed=seed).select("doc_id", F.col("__fp").alias("fp"), packed(F.col("text").cast("binary")).alias("shingles"))
+    prints = cut(marked.withColumn("node", F.xxhash64("shingles")).withColumn("keys", banded("shingles")))
     classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")))
-    members = classes.select("node", F.explode("keys").alias("key"))
+    balls = ball_buckets(prints.where(F.octet_length("shingles") > 0).select("node", "fp").distinct(), radius)
+    members = classes.select("node", F.explode("keys").alias("key")).unionByName(balls)
     crowds = members.groupBy("key").agg(F.min("node").alias("star"), F.count("*").alias("n"), F.bit_xor("node").alias("mark")).where("n > 1")
     crowds = crowds.groupBy("n", "mark", "star").agg(F.min("key").alias("key"))  # bands with the same members are one bucket
     shared = cut(members.join(crowds, "key").select("key", "node", "star", "n"))
